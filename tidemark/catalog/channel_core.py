@@ -22,7 +22,7 @@ SELECT order_date, partner_id, product_family, quantity, revenue_usd, margin_pct
        year(order_date) AS year, margin_usd, CAST(revenue_usd AS DOUBLE) / quantity AS unit_price, is_outlier
 FROM lines""", dbl="revenue_usd margin_pct margin_usd unit_price", big="year", digits=9)
 def sales_lines_clean(spark, sf):
-    return facts.clean_lines(Channel(spark, sf).sales).select(
+    return tables(spark, sf).clean.select(
         "order_date", "partner_id", "product_family", "quantity", "revenue_usd", "margin_pct", "month", "quarter",
         "year", "margin_usd", "unit_price", "is_outlier")
 
@@ -88,8 +88,8 @@ SELECT partner_id, order_date, revenue_usd, partner_type, country,
        CASE WHEN onboarded_date < DATE '1999-01-01' THEN 'Onboarded pre-1999' ELSE 'Onboarded 1999+' END AS cohort,
        round((order_date - onboarded_date) / 30.44, 1) AS tenure_months FROM base""", dbl="revenue_usd tenure_months")
 def lines_with_partner(spark, sf):
-    ch = Channel(spark, sf)
-    return facts.attach_partner(facts.base_lines(ch.sales), ch.master, SETTINGS).select(
+    t = tables(spark, sf)
+    return facts.attach_partner(t.base, t.master, SETTINGS).select(
         "partner_id", "order_date", "revenue_usd", "partner_type", "country", "cohort", "tenure_months")
 
 
@@ -106,7 +106,7 @@ SELECT region, quarter, sum(revenue_usd) AS revenue_usd, sum(margin_usd) AS marg
        CAST(sum(margin_usd) AS DOUBLE) / CAST(sum(revenue_usd) AS DOUBLE) * 100 AS margin_pct
 FROM base GROUP BY 1, 2""", dbl="revenue_usd margin_usd margin_pct", big="quantity")
 def region_quarter(spark, sf):
-    return facts.aggregate(facts.base_lines(Channel(spark, sf).sales), ["region", "quarter"])
+    return facts.aggregate(tables(spark, sf).base, ["region", "quarter"])
 
 
 @query("rollup_grouping_sets", "AG-04", cte("base") + """
@@ -120,7 +120,7 @@ FROM base GROUP BY GROUPING SETS ((region, month), (region, quarter), (tier, qua
                                   (region, tier, product_family, quarter))""",
        dbl="revenue_usd margin_usd margin_pct", big="quantity")
 def rollup_grouping_sets(spark, sf):
-    return facts.rollups(facts.base_lines(Channel(spark, sf).sales))
+    return facts.rollups(tables(spark, sf).base)
 
 
 @query("partner_month_grid", "JN-02 JN-03 AG-02", cte("pm") + """
@@ -148,21 +148,21 @@ def partner_snapshot(spark, sf):
 SELECT partner_id, order_date, order_date - lag(order_date) OVER (PARTITION BY partner_id ORDER BY order_date) AS gap_days
 FROM (SELECT DISTINCT partner_id, order_date FROM base)""", big="gap_days")
 def order_day_gaps(spark, sf):
-    return facts.order_gaps(facts.base_lines(Channel(spark, sf).sales))
+    return facts.order_gaps(tables(spark, sf).base)
 
 
 @query("outlier_lines", "AG-18 FLT-03", cte("lines") + """
 SELECT l.partner_id, l.order_date, l.region, l.product_family, l.quantity, l.revenue_usd, outlier_above
 FROM lines l JOIN lim USING (product_family) WHERE is_outlier""", dbl="revenue_usd outlier_above")
 def outlier_lines(spark, sf):
-    s = Channel(spark, sf).sales
-    return (facts.clean_lines(s).where("is_outlier").join(facts.outlier_limits(s), "product_family")
+    ch = Channel(spark, sf)
+    return (tables(spark, sf).clean.where("is_outlier").join(facts.outlier_limits(ch.line_values), "product_family")
             .select("partner_id", "order_date", "region", "product_family", "quantity", "revenue_usd", "outlier_above"))
 
 
 @query("outlier_limits", "AG-18", cte("lim") + "SELECT * FROM lim", dbl="outlier_above")
 def outlier_limits(spark, sf):
-    return facts.outlier_limits(Channel(spark, sf).sales)
+    return facts.outlier_limits(Channel(spark, sf).line_values)
 
 
 DQ_SQL = cte("lines", "targets") + """,
@@ -204,13 +204,13 @@ def data_quality_checks(spark, sf):
 SELECT tier, sum(revenue_usd) AS revenue_usd FROM base
 WHERE order_date BETWEEN DATE '2000-01-01' AND DATE '2000-06-30' GROUP BY 1""", dbl="revenue_usd")
 def period_revenue(spark, sf):
-    return quality.period_revenue(facts.base_lines(Channel(spark, sf).sales), "tier", date(2000, 1, 1), date(2000, 6, 30))
+    return quality.period_revenue(tables(spark, sf).base, "tier", date(2000, 1, 1), date(2000, 6, 30))
 
 
 @query("margin_ratio_edges", "PRJ-02", cte("base") + """
 SELECT product_family, quarter, CAST(sum(revenue_usd) AS DOUBLE) / nullif(sum(quantity), 0) AS unit_price
 FROM base GROUP BY 1, 2""", dbl="unit_price")
 def margin_ratio_edges(spark, sf):
-    g = facts.base_lines(Channel(spark, sf).sales).groupBy("product_family", "quarter").agg(
+    g = tables(spark, sf).base.groupBy("product_family", "quarter").agg(
         F.sum("revenue_usd").alias("r"), F.sum("quantity").alias("q"))
     return g.select("product_family", "quarter", ratio(F.col("r"), F.col("q")).alias("unit_price"))

@@ -1,6 +1,8 @@
 """Cleaned lines, the regular partner grid and the tables built on it."""
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import calendar as cal
@@ -33,14 +35,15 @@ def flag_outliers(lines: DataFrame, sales: DataFrame | None = None, multiple: fl
             .drop("outlier_above"))
 
 
-def clean_lines(sales: DataFrame) -> DataFrame:
-    """Every line, with calendar and margin columns and the outlier flag."""
-    return flag_outliers(enrich_lines(sales), sales)
+def clean_lines(sales: DataFrame, values: DataFrame | None = None) -> DataFrame:
+    """Every line, with calendar and margin columns and the outlier flag. `values` may name a cheaper source of the
+    same (product_family, revenue_usd) pairs."""
+    return flag_outliers(enrich_lines(sales), sales if values is None else values)
 
 
-def base_lines(sales: DataFrame) -> DataFrame:
+def base_lines(sales: DataFrame, values: DataFrame | None = None) -> DataFrame:
     """The lines every aggregate is built on: outliers left out."""
-    return clean_lines(sales).where(~F.col("is_outlier"))
+    return clean_lines(sales, values).where(~F.col("is_outlier"))
 
 
 def attach_partner(lines: DataFrame, master: DataFrame, settings: ChannelSettings) -> DataFrame:
@@ -204,24 +207,40 @@ class ChannelTables:
     """Lazily built tables of one workload: nothing runs until a result is asked for."""
 
     def __init__(self, sales: DataFrame, master: DataFrame, targets: DataFrame, settings: ChannelSettings,
-                 exclude_outliers: bool = True):
+                 values: DataFrame | None = None, exclude_outliers: bool = True):
         self.settings, self.sales, self.master, self.targets = settings, sales, master, targets
-        self.lines = attach_partner(clean_lines(sales), master, settings)
-        clean = clean_lines(sales)
-        self.base = clean.where(~F.col("is_outlier")) if exclude_outliers else clean
-        self.partner_month = partner_month(self.base, master, settings)
-        self.partner_quarter = partner_quarter(self.base, self.partner_month, targets)
+        self._values, self._exclude = values, exclude_outliers
 
     @classmethod
     def of(cls, channel) -> "ChannelTables":
-        return cls(channel.sales, channel.master, channel.targets, channel.settings)
+        return cls(channel.sales, channel.master, channel.targets, channel.settings, channel.line_values)
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        return clean_lines(self.sales, self._values)
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return attach_partner(self.clean, self.master, self.settings)
 
-    @property
+    @cached_property
+    def base(self) -> DataFrame:
+        return self.clean.where(~F.col("is_outlier")) if self._exclude else self.clean
+
+    @cached_property
     def base_typed(self) -> DataFrame:
         """Base lines with the partner type, which is not on the line itself."""
         return self.base.join(self.master.select("partner_id", "partner_type"), "partner_id", "left")
 
-    @property
+    @cached_property
+    def partner_month(self) -> DataFrame:
+        return partner_month(self.base, self.master, self.settings)
+
+    @cached_property
+    def partner_quarter(self) -> DataFrame:
+        return partner_quarter(self.base, self.partner_month, self.targets)
+
+    @cached_property
     def partner_summary(self) -> DataFrame:
         return partner_summary(self.base, self.partner_quarter, self.master, self.settings)
 

@@ -1,7 +1,7 @@
 """Channel and ticket tables derived from the test star schema. Every frame is lazy; nothing is collected."""
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, timedelta
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -31,6 +31,28 @@ PHRASES = ["Only one user is affected.", "All customers on the platform see this
 SEVERITY_WORDS = ["Low", "Critical", "hgih", "medum", "critcal", "banana", "High", "lwo", "Medium"]
 
 
+# Schemas are stated, not inferred: a read then costs no extra job and a changed file fails loudly.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey long, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "labels": "doc_id long, quality int, toxic int",
+}
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
+
+
 class Channel:
     """The three business tables of the channel workload, over one directory of parquet files."""
 
@@ -38,7 +60,7 @@ class Channel:
         self.spark, self.dir, self.settings = spark, sf_dir, settings
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return read_table(self.spark, self.dir, name)
 
     @cached_property
     def master(self) -> DataFrame:
@@ -53,22 +75,34 @@ class Channel:
             kinds[(k % 3).cast("int")].alias("partner_type"), F.col("n_name").alias("country"),
             F.date_add(F.lit(date(1997, 1, 1)), ((k * 37) % 1460).cast("int")).alias("onboarded_date"))
 
-    @cached_property
-    def sales(self) -> DataFrame:
+    def _priced(self) -> DataFrame:
+        """Order lines of the window with their family and revenue, before any partner attribute."""
         s = self.settings
         orders = self.table("orders").where(
-            (F.col("o_orderdate") >= F.lit(s.start).cast("timestamp"))
-            & (F.col("o_orderdate") < F.date_add(F.lit(s.end), 1).cast("timestamp")))
+            (F.col("o_orderdate") >= F.lit(s.start).cast("timestamp_ntz"))
+            & (F.col("o_orderdate") < F.lit(s.end + timedelta(days=1)).cast("timestamp_ntz")))
         lines = (self.table("lineitem")
                  .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-                 .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey"))
-                 .join(self.master, F.col("o_custkey") == F.col("partner_id")))
+                 .join(self.table("part"), F.col("l_partkey") == F.col("p_partkey")))
         price = F.col("l_extendedprice").cast("decimal(12,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
-        real = lines.select(
-            F.col("o_orderdate").cast("date").alias("order_date"), "partner_id", "partner_name", "region", "tier",
+        return lines.select(
+            F.col("o_orderdate").cast("date").alias("order_date"), F.col("o_custkey").alias("partner_id"),
             F.col("p_type").alias("product_family"), F.col("l_quantity").cast("long").alias("quantity"),
             price.cast("decimal(18,4)").alias("revenue_usd"),
             (5 + F.col("l_partkey") % 16).cast("decimal(5,2)").alias("margin_pct"))
+
+    @cached_property
+    def line_values(self) -> DataFrame:
+        """(product_family, revenue_usd) of every sales line, for the outlier limits: no partner join needed."""
+        corrupt = self.table("customer").where("c_custkey = 18").select(
+            F.lit("PROMO").alias("product_family"), F.lit(37800000).cast("decimal(18,4)").alias("revenue_usd"))
+        return self._priced().select("product_family", "revenue_usd").unionByName(corrupt)
+
+    @cached_property
+    def sales(self) -> DataFrame:
+        real = self._priced().join(self.master, "partner_id").select(
+            "order_date", "partner_id", "partner_name", "region", "tier", "product_family", "quantity",
+            "revenue_usd", "margin_pct")
         corrupt = self.master.where("partner_id = 18").select(
             F.lit(date(2001, 3, 27)).alias("order_date"), "partner_id", "partner_name", "region", "tier",
             F.lit("PROMO").alias("product_family"), F.lit(12800).cast("long").alias("quantity"),
@@ -94,7 +128,7 @@ class Desk:
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return read_table(self.spark, self.dir, name)
 
     @cached_property
     def inbox(self) -> DataFrame:
