@@ -290,3 +290,21 @@ def spearman_pairs(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     cov = n * sxy - sx * sy
     return j.groupBy("a", "b").agg(
         (cov / F.nullif(F.sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)), F.lit(0.0))).alias("spearman"), n.alias("n"))
+
+
+def ap_bootstrap(df: DataFrame, y: str, a: str, b: str, boot: int = 200, seed: int = 42) -> DataFrame:
+    """Paired bootstrap of average precision of a minus b, weights shared by both scores."""
+    def weighted(frame: DataFrame, keys: list[str], w: Column) -> DataFrame:
+        s = F.explode(F.array(F.struct(F.lit("a").alias("run"), F.col(a).alias("x")), F.struct(F.lit("b").alias("run"), F.col(b).alias("x"))))
+        cells = (frame.select(*keys, F.col(y).alias("_y"), w.alias("_w"), s.alias("s")).where("_w > 0")
+                 .groupBy(*keys, F.col("s.run").alias("run"), F.col("s.x").alias("x"))
+                 .agg(F.sum(F.col("_w") * F.col("_y")).alias("_pos"), F.sum("_w").alias("_n")))
+        run = running_totals(cells, [-F.col("x")], {"_tp": F.col("_pos"), "_cn": F.col("_n")}, [*keys, "run"])
+        g = run.groupBy(*keys, "run").agg(F.sum(ratio(F.col("_pos"), F.col("_tp_total")) * ratio(F.col("_tp"), F.col("_cn"))).alias("ap"))
+        side = lambda r: F.max(F.when(F.col("run") == r, F.col("ap")))
+        return g.groupBy(*keys).agg((side("a") - side("b")).alias("diff"))
+
+    point = weighted(df, [], F.lit(1)).select("diff")
+    reps = df.withColumn("replicate", replicates(boot))
+    r = weighted(reps, ["replicate"], poisson1(seed, F.col("replicate"), F.col("row_id"))).where(F.col("diff").isNotNull())
+    return point.crossJoin(interval(r.withColumnRenamed("diff", "_m"), [], "_m"))
