@@ -7,6 +7,7 @@ from .. import fixed_values as fv
 from ..operators import decisions as dc
 from ..operators import intake, stats
 from ..sources.fixtures import CLASSES, KNOWN_PRODUCTS, Desk
+from ..session import cut_lineage
 from .prelude import cte, define
 from .registry import query
 
@@ -56,7 +57,11 @@ def scored(desk):
 
 
 def policies(desk):
-    return dc.policy_frame(desk.proba, calibrated(desk), p_correct(desk), desk.tickets)
+    raw = cut_lineage(desk.proba)
+    cal = cut_lineage(stats.temperature(raw, ["ticket_id", "target"], F.lit(TEMP)))
+    f = dc.correctness_features(cal, desk.tickets, desk.proba_second)
+    pc = f.select("ticket_id", ((F.col("p_ok") + F.col("e1_p_pred")) / 2).alias("p_ok"))
+    return dc.policy_frame(raw, cal, pc, desk.tickets)
 
 
 @query("probability_frame_checks", "SRC-08", cte("proba") + """

@@ -168,7 +168,6 @@ def forecast_monthly_models(spark, sf):
 def forecast_final(spark, sf):
     from ..session import cut_lineage
     q, m = inputs(spark, sf)
-    q, m = cut_lineage(q), cut_lineage(m)
     f = cut_lineage(rv.forecast_all(q, m, TARGETS, N))
     bt = rv.backtest(f, q)
     chosen = rv.choose_ensemble(rv.leave_one_out(bt, N)).first()["chosen"]

@@ -89,7 +89,7 @@ def feature_missingness(spark, sf):
 
 
 _AUC = """SELECT '{f}' AS feature, {h} AS is_hold, (sum(ar) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0) / nullif(CAST(sum(y) AS DOUBLE) * sum(1 - y), 0) AS auc
-FROM (SELECT left_token AS y, rank() OVER (ORDER BY {f}) + (count(*) OVER (PARTITION BY {f}) - 1) / 2.0 AS ar FROM hist WHERE {f} IS NOT NULL AND (cutoff = '2001-Q1') = {h})"""
+FROM (SELECT left_token AS y, rank() OVER (ORDER BY round({f}, 9)) + (count(*) OVER (PARTITION BY round({f}, 9)) - 1) / 2.0 AS ar FROM hist WHERE {f} IS NOT NULL AND (cutoff = '2001-Q1') = {h})"""
 
 
 @query("univariate_auc", "ML-10 ML-06", cte("hist") + ", a AS (" + " UNION ALL ".join(_AUC.format(f=f, h=h) for f in NUM for h in ("true", "false")) + "), c AS ("
@@ -99,7 +99,8 @@ SELECT c.feature, coverage, max(auc) FILTER (NOT is_hold) AS auc_history, max(au
        dbl="coverage auc_history auc_holdout strength")
 def univariate_auc(spark, sf):
     # equal values may differ in the last bit between snapshots, so ties are made on nine digits
-    return risk.univariate_auc(panel(spark, sf), NUM, SETTINGS.train_cutoffs[-1])
+    x = panel(spark, sf).select("cutoff", risk.LABEL, *[F.round(c, 9).alias(c) for c in NUM])
+    return risk.univariate_auc(x, NUM, SETTINGS.train_cutoffs[-1])
 
 
 SP = ["rev_q1_log", "rev_avg_4q_log", "lines_per_month_6m", "days_since_last_order", "typical_gap_days", "att_avg_4q", "yoy_2q", "margin_pct_4q", "tenure_months", "order_days_6m"]

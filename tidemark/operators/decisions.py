@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import fixed_values as fv
 from ..functions.numeric import ratio, xlogx
+from ..session import cut_lineage
 from .ranking import global_rank, running_totals
 from . import stats
 
@@ -145,7 +146,8 @@ def policy_frame(raw: DataFrame, calibrated: DataFrame, p_correct: DataFrame, tr
               "g_naive_low_pcorrect": -F.col("_pc")}
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("policy"), F.round(v, 12).alias("score")) for k, v in scores.items()]))
     long = x.select("ticket_id", "priority", correct.alias("correct"), cells.alias("s")).select("ticket_id", "priority", "correct", "s.*")
-    r = global_rank(long, [-F.coalesce("score", F.lit(-1e18)), F.col("ticket_id")], "_rn", ["policy"])
+    # ranking reads its input three times: the joined scores are written once
+    r = global_rank(cut_lineage(long), [-F.coalesce("score", F.lit(-1e18)), F.col("ticket_id")], "_rn", ["policy"])
     inside = (F.col("_rn") <= cap_count(cap, F.col("_rn_total"))) & F.col("score").isNotNull()
     mask = F.when(F.col("policy").isin(SAVING), inside & (F.col("score") > 0)).otherwise(inside)
     return r.withColumn("abstain", mask).withColumn("cost", realized_cost(mask, F.col("correct"), F.col("priority"))).select(
@@ -167,7 +169,7 @@ def cost_curve(frame: DataFrame, cap: float = fv.MAX_ABSTAIN_RATE, step: float =
     x = frame.where(F.col("policy").isin("b_naive_low_conf", "c_expcost_raw", "d_expcost_cal"))
     routed = realized_cost(F.lit(False), F.col("correct"), F.col("priority"))
     delta = by_priority(F.col("priority"), ABSTAIN) - routed
-    r = running_totals(x, [-F.col("score"), F.col("ticket_id")],
+    r = running_totals(cut_lineage(x), [-F.col("score"), F.col("ticket_id")],
                        {"_rn": F.lit(1).cast("long"), "_d": delta.cast("decimal(18,4)"), "_r": routed.cast("decimal(18,4)")}, ["policy"])
     rates = [round(i * step, 3) for i in range(int(cap / step + 1e-6) + 1)]
     at = F.filter(F.array(*[F.struct(F.lit(v).alias("rate"), cap_count(v, F.col("_rn_total")).alias("k")) for v in rates]),

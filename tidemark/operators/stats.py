@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import ratio
+from ..session import cut_lineage
 from .ranking import exact_quantiles, running_totals
 
 EPS = 1e-12
@@ -218,7 +219,9 @@ def cell_weights(cells: DataFrame, keys: list[str], n: str, boot: int, seed: int
 
 
 def interval(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """95 percent bounds and the share of replicates at or above zero."""
+    """95 percent bounds and the share of replicates at or above zero. The replicates are written once: the bounds
+    take two passes over them."""
+    df = cut_lineage(df)
     q = exact_quantiles(df, by, value, {"lo": 0.025, "hi": 0.975})
     share = df.groupBy(*by).agg(F.avg((F.col(value) >= 0).cast("int")).alias("share_ge_0"))
     return q.join(share, by) if by else q.crossJoin(share)
@@ -256,6 +259,7 @@ def auc_bootstrap(df: DataFrame, within: list[str], y: str, a: str, b: str, boot
         long = frame.select(*keys, F.col(y).alias("_y"), w.alias("_w"), s.alias("s")).where("_w > 0")
         cells = long.groupBy(*keys, F.col("s.run").alias("run"), F.col("s.x").alias("x")).agg(
             F.sum(F.col("_w") * F.col("_y")).alias("_pos"), F.sum(F.col("_w") * (1 - F.col("_y"))).alias("_neg"))
+        cells = cut_lineage(cells)
         run = running_totals(cells, [F.col("x")], {"_cn": F.col("_neg")}, [*keys, "run"])
         g = run.groupBy(*keys, "run").agg(F.sum(F.col("_pos") * (F.col("_cn") - F.col("_neg") / 2.0)).alias("_u"),
                                           F.sum("_pos").alias("_p"), F.sum("_neg").alias("_q"))
@@ -299,6 +303,7 @@ def ap_bootstrap(df: DataFrame, y: str, a: str, b: str, boot: int = 200, seed: i
         cells = (frame.select(*keys, F.col(y).alias("_y"), w.alias("_w"), s.alias("s")).where("_w > 0")
                  .groupBy(*keys, F.col("s.run").alias("run"), F.col("s.x").alias("x"))
                  .agg(F.sum(F.col("_w") * F.col("_y")).alias("_pos"), F.sum("_w").alias("_n")))
+        cells = cut_lineage(cells)
         run = running_totals(cells, [-F.col("x")], {"_tp": F.col("_pos"), "_cn": F.col("_n")}, [*keys, "run"])
         g = run.groupBy(*keys, "run").agg(F.sum(ratio(F.col("_pos"), F.col("_tp_total")) * ratio(F.col("_tp"), F.col("_cn"))).alias("ap"))
         side = lambda r: F.max(F.when(F.col("run") == r, F.col("ap")))

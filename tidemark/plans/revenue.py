@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import calendar as cal
 from ..functions.numeric import ratio
+from ..session import cut_lineage
 from ..settings import COVERAGE, ChannelSettings
 
 CORE = ["seasonal_ratio", "yoy_growth", "regression"]
@@ -43,7 +44,8 @@ def series(lines: DataFrame, pq: DataFrame, area: str = "region") -> tuple[DataF
     q = lines.groupBy(F.col(area).alias("area"), cal.quarter_index(F.col("order_date")).alias("q")).agg(F.sum("revenue_usd").cast("double").alias("revenue"))
     t = pq.groupBy(F.col(area).alias("area"), cal.index_of_label(F.col("quarter")).alias("q")).agg(F.sum("target_usd").cast("double").alias("target"))
     m = lines.groupBy(F.col(area).alias("area"), cal.month_index(F.col("order_date")).alias("m")).agg(F.sum("revenue_usd").cast("double").alias("revenue"))
-    return q.join(t, ["area", "q"], "full"), m
+    # two short tables (series x periods) that every forecast step reads again: written once
+    return cut_lineage(q.join(t, ["area", "q"], "full")), cut_lineage(m)
 
 
 def histories(quarterly: DataFrame, targets: list[str]) -> DataFrame:
@@ -274,6 +276,7 @@ def bias_and_scale(bt: DataFrame, by: list[str], n_areas: int, n_quarters: int)
 
 def leave_one_out(bt: DataFrame, n_areas: int) -> DataFrame:
     """Each quarter corrected with the bias and width of the others: errors before and after, and coverage."""
+    bt = cut_lineage(bt)  # errors per series, method and quarter: small, and read several times below
     qs = bt.select(F.col("quarter").alias("held_out")).distinct()
     nq = bt.agg(F.countDistinct("quarter").alias("n")).first()["n"]  # the number of backtest quarters
     others = bt.join(F.broadcast(qs), F.col("quarter") != F.col("held_out"))
