@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["channel_core", "snapshots", "dashboard", "insights", "decisions", "risk", "revenue", "text"]
+MODULES = ["channel_core", "snapshots", "dashboard", "insights", "decisions", "risk", "revenue", "text", "desk"]
 
 
 def load():

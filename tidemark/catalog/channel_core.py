@@ -14,9 +14,15 @@ from .registry import query
 
 
 def tables(spark, sf):
+    """Everything computed from the given files."""
     return facts.ChannelTables.of(Channel(spark, sf))
 
 
+def stored(spark, sf):
+    """For queries that read prepared tables: lines and partner facts are prepared once per session."""
+    return facts.ChannelTables.stored(Channel(spark, sf))
+
+
 @query("sales_lines_clean", "SRC-01 PRJ-02", cte("lines") + """
 SELECT order_date, partner_id, product_family, quantity, revenue_usd, margin_pct, month, quarter,
        year(order_date) AS year, margin_usd, CAST(revenue_usd AS DOUBLE) / quantity AS unit_price, is_outlier

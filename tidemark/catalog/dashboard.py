@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..plans import dashboard as db
 from ..plans import scoring
 from ..settings import HEALTH_EDGES
-from .channel_core import tables
+from .channel_core import stored as tables
 from .prelude import cte, define
 from .registry import query
 from .snapshots import score_snapshot

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..plans import insights as ins
 from ..operators import stats
-from .channel_core import tables
+from .channel_core import stored as tables
 from .prelude import cte, define
 from .registry import query
 from .snapshots import panel

@@ -8,7 +8,7 @@ from ..operators import stats
 from ..plans import risk
 from ..sources.fixtures import SETTINGS
 from . import feature_sql as fs
-from .channel_core import tables
+from .channel_core import stored as tables
 from .prelude import cte
 from .registry import query
 from .snapshots import history, panel, score_snapshot

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import features as ft
 from ..sources.fixtures import SETTINGS, Channel
 from . import feature_sql as fs
-from .channel_core import tables
+from .channel_core import stored as tables
 from .prelude import cte
 from .registry import query
 

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import calendar as cal
 from ..functions.numeric import ratio, ratio_pos
+from ..session import stored_table
 from ..settings import ChannelSettings, DAYS_PER_MONTH, OUTLIER_MULTIPLE, OUTLIER_QUANTILE, RAMPING_MONTHS
 from .ranking import exact_quantiles
 
@@ -215,6 +216,20 @@ class ChannelTables:
     def of(cls, channel) -> "ChannelTables":
         return cls(channel.sales, channel.master, channel.targets, channel.settings, channel.line_values)
 
+    @classmethod
+    def stored(cls, channel) -> "ChannelTables":
+        """The same tables with the cleaned lines and the partner-quarter facts written once per session, as a nightly
+        job would: lines by quarter, so that a quarter filter reads only its files."""
+        t = cls.of(channel)
+        where = str(channel.dir)
+        # a few writers per quarter, chosen by a hash of the line, so that neither a quarter nor a partner is one task
+        per_quarter = max(1, int(channel.spark.conf.get("spark.sql.shuffle.partitions")) // len(t.settings.quarters))
+        salt = F.pmod(F.xxhash64("partner_id", "order_date", "revenue_usd"), F.lit(per_quarter))
+        t.clean = stored_table(channel.spark, (where, "lines"), lambda: cls.of(channel).clean.repartition(F.col("quarter"), salt), ["quarter"])
+        t.partner_month = stored_table(channel.spark, (where, "partner_month"), lambda: partner_month(t.base, t.master, t.settings))
+        t.partner_quarter = stored_table(channel.spark, (where, "partner_quarter"), lambda: partner_quarter(t.base, t.partner_month, t.targets))
+        return t
+
     @cached_property
     def clean(self) -> DataFrame:
         return clean_lines(self.sales, self._values)

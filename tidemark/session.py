@@ -37,6 +37,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored_table(spark: SparkSession, key: tuple, build, partition_by: list[str] = ()) -> DataFrame:
+    """Build a table once per session, write it as parquet to the shared folder, and read it from there afterwards,
+    with column pruning, filter pushdown and partition pruning."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _STORED:
+        path = f"{checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}/{abs(hash(key)):x}"
+        w = build().write.mode("overwrite")
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` to the shared checkpoint folder and go on from there.
 
