@@ -94,5 +94,6 @@ def test_split_is_disjoint_and_stratified(spark, sf):
 def test_probability_checks_find_a_bad_row(spark, sf):
     from tidemark.plans.triage import check_probabilities
     d = Desk(spark, sf)
-    bad = d.proba.withColumn("p", F.when((F.col("ticket_id") == 0) & (F.col("class") == "P1"), 5.0).otherwise(F.col("p")))
+    first = d.tickets.agg(F.min("ticket_id")).first()[0]
+    bad = d.proba.withColumn("p", F.when((F.col("ticket_id") == first) & (F.col("class") == "P1"), 5.0).otherwise(F.col("p")))
     assert {r["rule"]: r["n"] for r in check_probabilities(bad, d.tickets, CLASSES).collect()}["row does not sum to 1"] == 1
