@@ -4,7 +4,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import date
 
-from .functions.calendar import qidx, qlabel, quarter_index  # noqa: F401
+from .functions.calendar import qlabel
 
 
 # Thresholds that define the results.
