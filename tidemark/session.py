@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,15 +29,40 @@ def local_session(cpus: int | str = "*", app: str = "tidemark", **conf) -> Spark
     return spark
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the setting is absent."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which the driver and all executors can reach.
+
+    A session on one machine may do without the setting and gets a folder of its own; any other session must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    global _LOCAL
+    if _LOCAL is None:
+        _LOCAL = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL
+
+
+_LOCAL: str | None = None
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The checkpoint folder of the session, set to the shared folder where it is unset."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+        sc.setCheckpointDir(shared_dir(spark))
     return sc.getCheckpointDir()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write `df` as Parquet to the shared folder, under a new name, and read it back: a lineage cut that survives lost
+    executors and that later passes read with pruned columns."""
+    path = f"{shared_dir(df.sparkSession)}/tidemark/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _STORED: dict[tuple, str] = {}
 
 
