@@ -1,10 +1,11 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from . import decontaminate, encode, mixing, secrets
+from . import decontaminate, encode, mixing, secrets, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
+    "op2_toxicity": toxicity.query,
     "op3_token_planes": encode.query,
     "op6_decontaminate": decontaminate.query,
     "op9_secrets": secrets.query,
