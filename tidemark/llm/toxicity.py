@@ -2,8 +2,8 @@
 
 A text is cut into windows of one word each (lower case, without the marks around it). Each window, between two copies of a fixed
 carrier line that both dictionaries know, is compressed with either dictionary; the difference in bytes says whose
-vocabulary it is. The carrier keeps short windows from being stored uncompressed. A document's three largest differences and its
-number of windows go into a logistic score, fitted on documents that the dictionaries have not seen.
+vocabulary it is. The carrier keeps short windows from being stored uncompressed. A document's three largest differences, and the same
+less the bytes of the word itself, and its number of windows go into a logistic score, fitted on documents that the dictionaries have not seen.
 
 Training takes a bounded sample of labelled documents (`Limits`); scoring takes every window of every text. The toxic dictionary
 is trained on words that occur in markedly more different contexts (word before, word, word after) in toxic than in ordinary documents:
@@ -29,6 +29,8 @@ from .common import table
 
 MARKS = ".,!&%$#*|;:?\"()"
 CARRIER = b" :: these words were said by somebody to somebody else :: "
+#: The second figure of a word is not taken below this.
+LOWEST = -12
 #: Scores of words remembered per Python worker.
 REMEMBERED = 400_000
 
@@ -63,7 +65,8 @@ def words_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 
 class Distance:
-    """Bytes that a word takes more with the ordinary than with the toxic dictionary."""
+    """Of each word, the bytes that it takes more with the ordinary than with the toxic dictionary, and that less twice the bytes
+    that it takes with the toxic one beyond the bare carrier: high only for words that the toxic dictionary has whole."""
 
     def __init__(self, model: Model):
         params = zstandard.ZstdCompressionParameters.from_level(9, write_content_size=False, write_checksum=False, write_dict_id=False, min_match=4,
@@ -73,7 +76,8 @@ class Distance:
             d = zstandard.ZstdCompressionDict(content + CARRIER, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             d.precompute_compress(compression_params=params)
             self.sides.append(zstandard.ZstdCompressor(dict_data=d, compression_params=params))
-        self.known: dict[str, int] = {"": 0}
+        self.bare = len(self.sides[1].compress(CARRIER + b"  " + CARRIER))
+        self.known: dict[str, tuple[int, int]] = {"": (0, 0)}
 
     def __call__(self, words: list[str]) -> np.ndarray:
         known, (ordinary, toxic) = self.known, self.sides
@@ -82,22 +86,26 @@ class Distance:
         for w in words:
             if w not in known:
                 window = CARRIER + b" " + w.encode() + b" " + CARRIER
-                known[w] = len(ordinary.compress(window)) - len(toxic.compress(window)) if w else 0
-        return np.fromiter((known[w] for w in words), dtype=np.int32, count=len(words))
+                with_toxic = len(toxic.compress(window))
+                diff = len(ordinary.compress(window)) - with_toxic
+                known[w] = (diff, max(LOWEST, diff - 2 * (with_toxic - self.bare)))
+        return np.array([known[w] for w in words], dtype=np.int32).reshape(-1, 2)
 
 
 def features(texts: pa.Array, distance: Distance) -> np.ndarray:
-    """Per text: its three largest differences over distinct words, and the logarithm of their number."""
+    """Per text: the three largest of either figure over its distinct words, and the logarithm of their number."""
     words, at, begins = words_of(texts)
-    diff = distance(words)
+    both = distance(words)
     real = np.fromiter((w != "" for w in words), dtype=bool, count=len(words))
-    out = np.zeros((len(texts), 4))
+    out = np.zeros((len(texts), 7))
+    out[:, 3:6] = LOWEST
     for i in range(len(texts)):
         own = np.unique(at[begins[i]:begins[i + 1]])
         own = own[real[own]]
-        top = np.sort(diff[own])[::-1][:3]
-        out[i, :len(top)] = top
-        out[i, 3] = np.log1p(len(own))
+        for k in (0, 1):
+            top = np.sort(both[own, k])[::-1][:3]
+            out[i, 3 * k:3 * k + len(top)] = top
+        out[i, 6] = np.log1p(len(own))
     return out
 
 
@@ -116,17 +124,21 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 
 
 def toxic_words(docs: list[tuple[list[str], int]]) -> list[str]:
-    """Words with at least eight times the share of new contexts in toxic documents, once for each of them. A document counts
-    once for a word, if it has it in a context that no earlier document of its kind has."""
-    seen: list[set] = [set(), set()]
-    count = [Counter(), Counter()]
+    """Words that are markedly more toxic documents' own, once for each of their uses there. A word's use in a document counts as far
+    as both the word before and the word after it are new: copies, also altered ones, bring few new neighbours."""
+    near: list[dict[str, tuple[set, set]]] = [{}, {}]
     for words, label in docs:
-        new = set(zip(["", *words], words, [*words[1:], ""])) - seen[label]
-        seen[label] |= new
-        count[label].update({context[1] for context in new})
-    ratio = sum(count[0].values()) / max(1, sum(count[1].values()))
+        fresh: dict[str, tuple[str, str]] = {}
+        for left, w, right in zip(["", *words], words, [*words[1:], ""]):
+            fresh.setdefault(w, (left, right))
+        for w, (left, right) in fresh.items():
+            before, after = near[label].setdefault(w, (set(), set()))
+            before.add(left)
+            after.add(right)
+    count = [{w: min(len(b), len(a)) for w, (b, a) in side.items()} for side in near]
+    ratio = max(1.0, sum(1 - label for _, label in docs) / max(1, sum(label for _, label in docs)))
     least = max(3, 0.015 * sum(label for _, label in docs))
-    return [w for w, n in sorted(count[1].items()) if w and n >= least and n * ratio >= 8 * (count[0][w] + 1) for _ in range(n)]
+    return [w for w, n in sorted(count[1].items()) if w and n >= least and n * ratio >= 8 * (count[0].get(w, 0) + 1) for _ in range(n)]
 
 
 def dictionary(samples: list[str], size: int) -> bytes:
@@ -151,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), toxic_s
         learnable(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     shares = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if set(shares) != {0, 1}:
-        return Model(b"", b"", (0.0,) * 5, 1.0 if shares.get(1) else 0.0)
+        return Model(b"", b"", (0.0,) * 8, 1.0 if shares.get(1) else 0.0)
     sized = docs.select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n")).join(marked, "doc_id")
     chosen: list[int] = []
     for label, most in ((1, limits.toxic), (0, limits.ordinary)):
