@@ -1,17 +1,19 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from . import decontaminate, encode, mixing, secrets, toxicity
+from . import decontaminate, encode, mixing, secrets, substring, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_toxicity": toxicity.query,
     "op3_token_planes": encode.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_substring_dedup": substring.query,
     "op9_secrets": secrets.query,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
     "op6_decontaminate": decontaminate.SQL,
+    "op7_substring_dedup": substring.SQL,
 }
