@@ -1,7 +1,7 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from . import decontaminate, encode, mixing, secrets, substring, toxicity
+from . import decontaminate, encode, jaccard, mixing, secrets, substring, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -10,10 +10,12 @@ QUERIES = {
     "op6_decontaminate": decontaminate.query,
     "op7_substring_dedup": substring.query,
     "op9_secrets": secrets.query,
+    "op10_jaccard_join": jaccard.query,
 }
 
 ORACLES = {
     "op1_mix_sources": mixing.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op7_substring_dedup": substring.SQL,
+    "op10_jaccard_join": jaccard.SQL,
 }
