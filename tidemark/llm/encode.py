@@ -33,69 +33,75 @@ from .common import table
 BLOCK = 1 << 16
 FILE = "part int, seq int, first long, n_ids int, planes array<binary>, doc_no array<long>, doc_id array<long>, length array<int>, begins array<boolean>, ends array<boolean>"
 PIECE = "part int, doc_no long, doc_id long, at long, n int, crc long, ids binary"
-#: Pieces of text remembered per Python worker.
-REMEMBERED = 400_000
+#: Words remembered per Python worker.
+REMEMBERED = 1_000_000
 #: Characters of text encoded at once.
 AT_ONCE = 4_000_000
-_TAIL = ".,!&%$#*|;:?\")"
+#: Between new words; a control character that the tokenizer keeps as a token of its own.
+MARK = "\x01"
+#: A letter or digit, the ASCII marks after it, and the blank or end after these.
+CLOSING = r"([a-z0-9])([.,!&%$#*|;:?]+)( |$)"
 
 _loaded: dict = {}
 
 
 class Encoder:
-    """Texts to ids by a tokenizer file, through a memory of pieces."""
+    """Texts to ids by a tokenizer file, through a memory of words.
+
+    Texts are lower-cased in ASCII and closing ASCII marks are set apart from the word before them, as the tokenizer itself does.
+    New words go to the tokenizer as one text, with a mark between any two that no word contains."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-
-    def plain(self, pieces: list[str]) -> list[bytes]:
-        known = self.cores
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list({p for p in pieces if p not in known})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return [known[p] for p in pieces]
-
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of new pieces. ASCII words are looked up in lower case and apart from closing ASCII marks: the tokenizer
-        lower-cases, and its marks are tokens of their own. Pieces with an apostrophe or a special token stay whole."""
-        cores, tails = [], []
-        for p in pieces:
-            core, tail = p, ""
-            if "'" not in p and "<|" not in p:
-                core = p.rstrip(_TAIL)
-                tail = p[len(core):]
-                if core and tail and not (core[-1].isascii() and core[-1].isalnum()):
-                    core, tail = p, ""
-                if core.isascii():
-                    core = core.lower()
-            cores.append(core)
-            tails.append(tail)
-        for p, a, b in zip(pieces, self.plain(cores), self.plain(tails)):
-            self.pieces[p] = a + b
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids = np.zeros(1 << 20, np.uint16)
+        self.starts = np.zeros(1, np.int64)  # of every known word, and the end of the last
+
+    def learn(self, words: list[str]) -> None:
+        for i in range(0, len(words), 50_000):
+            part = words[i:i + 50_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
+            cuts = np.flatnonzero(ids == self.mark[0])
+            if len(self.mark) != 1 or len(cuts) != len(part) - 1:  # a word holds the mark
+                each = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in part]
+                ids, sizes = np.array([x for e in each for x in e], dtype=np.int64), np.array([len(e) for e in each])
+            else:
+                sizes = np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
+                ids = np.delete(ids, cuts)
+            end = int(self.starts[-1])
+            while end + len(ids) > len(self.ids):
+                self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+            if len(ids) and ids.max() > 0xFFFF and self.ids.dtype == np.uint16:
+                self.ids = self.ids.astype(np.uint32)
+            self.ids[end:end + len(ids)] = ids
+            first = len(self.known)
+            self.known.update(zip(part, range(first, first + len(part))))
+            self.starts = np.concatenate((self.starts, end + np.cumsum(sizes)))
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each."""
-        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        flat = pc.replace_substring(pc.ascii_lower(texts), "\n", " ")
+        flat = pc.replace_substring_regex(flat, CLOSING, r"\1 \2\3")
+        lists = pc.split_pattern(flat, " ")
         words = pc.dictionary_encode(lists.flatten())
         if isinstance(words, pa.ChunkedArray):
             words = words.combine_chunks()
         names = words.dictionary.to_pylist()
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        self.learn([p for p in names if p not in self.pieces])
-        found = [self.pieces[p] for p in names]
-        flat = np.frombuffer(b"".join(found), dtype="<u4")
-        sizes = np.fromiter((len(x) // 4 for x in found), dtype=np.int64, count=len(found))
-        starts = np.cumsum(sizes) - sizes
-        which = words.indices.to_numpy(zero_copy_only=False)
-        each = sizes[which]
+        if len(self.known) > REMEMBERED:
+            self.forget()
+        known = self.known
+        self.learn([w for w in names if w not in known])
+        at = np.fromiter(map(known.__getitem__, names), dtype=np.int64, count=len(names))
+        which = at[words.indices.to_numpy(zero_copy_only=False)]
+        starts = self.starts[which]
+        each = self.starts[which + 1] - starts
         ends = np.cumsum(each)
-        ids = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[which] - (ends - each), each)]
+        ids = self.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - each), each)]
         bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         total = np.concatenate(([0], ends))
         return ids, total[bounds[1:]] - total[bounds[:-1]]
