@@ -1,7 +1,7 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from . import decontaminate, encode, jaccard, mixing, secrets, substring, toxicity
+from . import decontaminate, encode, jaccard, mixing, search, secrets, substring, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -9,6 +9,7 @@ QUERIES = {
     "op3_token_planes": encode.query,
     "op6_decontaminate": decontaminate.query,
     "op7_substring_dedup": substring.query,
+    "op8_bm25_top_k": search.query,
     "op9_secrets": secrets.query,
     "op10_jaccard_join": jaccard.query,
 }
@@ -17,5 +18,6 @@ ORACLES = {
     "op1_mix_sources": mixing.SQL,
     "op6_decontaminate": decontaminate.SQL,
     "op7_substring_dedup": substring.SQL,
+    "op8_bm25_top_k": search.SQL,
     "op10_jaccard_join": jaccard.SQL,
 }
