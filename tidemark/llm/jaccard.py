@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.session import written
 
 from .arrow import coded_words, gram_hashes, mixed, slices, word_hashes
-from .common import table
+from .common import table, word_count
 from .trie import linked
 
 CELLS = 1 << 18
@@ -89,7 +89,7 @@ def meet(rows: pa.Table) -> pa.Table:
 
 
 def join(docs: DataFrame, n: int = 4, percent: int = 85, lower: bool = True) -> DataFrame:
-    """doc_id, row_key (of id and text), node (digest of the set, null for the empty one), n_shingles and component_id of every row.
+    """doc_id, row_key (of id and text), component (its digest, null for the empty set), n_shingles and component_id of every row.
 
     Sets link when 100 * intersection >= percent * union. docs: doc_id, text, and any other columns."""
     level = frequency_levels(docs, n, lower)
@@ -143,7 +143,17 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, lower: bool = True) ->
     placed = members.join(label, "node", "left").withColumn("class", F.coalesce("label", "node"))
     least = placed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "class", "left").select(
-        "doc_id", "row_key", "node", "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+        "doc_id", "row_key", F.col("class").alias("component"), "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
+    """`docs` with one document of each component, that of the smallest id (null last); texts without words all stay."""
+    rows = join(docs, n, percent).where("component IS NOT NULL")
+    order = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), F.col("row_key").alias("r"))
+    kept = written(rows.groupBy("component").agg(F.min(order).alias("first")).select(F.col("first.r").alias("__row_key")).distinct(), "kept")
+    worded = word_count(F.col("text")) > 0
+    one = docs.where(worded).withColumn("__row_key", F.xxhash64("doc_id", "text")).join(kept, "__row_key", "left_semi").dropDuplicates(["__row_key"])
+    return one.drop("__row_key").unionByName(docs.where(~worded))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.session import written
 
-from .common import word_count
+from .common import table, word_count
 
 #: The golden ratio's fraction in 40 bits, odd: multiplied by the slot number it gives the points of the sequence.
 STEP = 679_582_956_591
@@ -69,6 +69,16 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
                        (low / all_take).alias("_low"), ((low + F.col("take")) / all_take).alias("_high"))
 
 
+def text_key() -> Column:
+    """Digest of id and text: the order inside a source's stream."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit(""))))
+
+
+def source_key() -> Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), "source"), F.lit(""))
+
+
 def blocks_from(start: Column, ranks: Column) -> Column:
     """The block numbers with the place where the document begins."""
     return F.transform(ranks, lambda r: F.struct(start.alias("start"), r.alias("rank")))
@@ -110,8 +120,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     slot. `repeats` of the result is the number of times a document is in the mix, to the nearest whole."""
     sized = written(docs.select(
         F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"),
-        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col("text"), F.lit("")))).alias("_key"))
-        .withColumn("_s", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+        text_key().alias("_key"), source_key().alias("_s"))
         .groupBy("doc_id", "source", "_s", "size", "_key").agg(F.count("*").alias("copies")), "mix-sizes")
     sources = written(source_targets(sized, weights, share, cap), "mix-sources")
 
@@ -142,13 +151,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     met = pieces.join(plan.drop("slot"), ["_s", "rank"], "left")
     taken = met.groupBy("doc_id", "source", "_s", "size", "_key", "_copy", "source_size", "target").agg(
         F.coalesce(F.sum(upper - lower), F.lit(0)).cast("long").alias("taken"))
-    out = taken.withColumn("repeats", F.when(size > 0, F.floor(F.col("taken") / size + 0.5)).otherwise(0).cast("long"))
-    return Mix(sources, plan, out)
+    return Mix(sources, plan, taken.withColumn("repeats", F.when(size > 0, F.floor(F.col("taken") / size + 0.5)).otherwise(0).cast("long")))
+
+
+def repeated(docs: DataFrame, mixture: Mix) -> DataFrame:
+    """`docs` as the mix has them: every document as often as it is taken, to the nearest whole; all columns as they were."""
+    times = written(mixture.documents.groupBy("_s", "_key").agg(F.sum("repeats").alias("__times")).where("__times > 0").select(
+        F.col("_s").alias("__s"), F.col("_key").alias("__key"), "__times"), "mix-repeats")
+    keyed = docs.withColumns({"__s": source_key(), "__key": text_key()}).dropDuplicates(["__s", "__key"])
+    return keyed.join(times, ["__s", "__key"]).withColumn("__n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).drop("__s", "__key", "__times", "__n")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes from it."""
-    from .common import table
     out = mix(table(spark, sf_dir, "documents")).documents
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 

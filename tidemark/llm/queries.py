@@ -1,12 +1,14 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from . import decontaminate, encode, jaccard, mixing, search, secrets, substring, toxicity
+from . import decontaminate, encode, jaccard, licences, lines, mixing, search, secrets, substring, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
     "op2_toxicity": toxicity.query,
     "op3_token_planes": encode.query,
+    "op4_fuzzy_lines": lines.query,
+    "op5_licences": licences.query,
     "op6_decontaminate": decontaminate.query,
     "op7_substring_dedup": substring.query,
     "op8_bm25_top_k": search.query,

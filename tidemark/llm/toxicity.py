@@ -109,6 +109,13 @@ def features(texts: pa.Array, distance: Distance) -> np.ndarray:
     return out
 
 
+def probability(texts: pa.Array, model: Model, distance: Distance | None) -> np.ndarray:
+    if distance is None:
+        return np.full(len(texts), model.constant)
+    x = np.column_stack([features(texts, distance), np.ones(len(texts))])
+    return 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
     """Weights and, last, the intercept, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -199,11 +206,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(model) if model.constant is None else None
         for batch in batches:
-            if distance is None:
-                p = np.full(batch.num_rows, model.constant)
-            else:
-                x = np.column_stack([features(batch.column(2), distance), np.ones(batch.num_rows)])
-                p = 1 / (1 + np.exp(-np.clip(x @ np.array(model.weights), -30, 30)))
+            p = probability(batch.column(2), model, distance)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))],
                                              names=["doc_id", "row_key", "score", "predicted"])
 
@@ -211,6 +214,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         run, "doc_id long, row_key long, score double, predicted int")
 
 
+def clean(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """`docs` without the rows whose text scores `threshold` or more; all columns as they were; one pass, no shuffle."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distance = Distance(model) if model.constant is None else None
+        for batch in batches:
+            yield batch.filter(pa.array(probability(batch.column("text"), model, distance) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """Every document's score, learnt from the labels outside the held-out quarter."""
     docs = table(spark, sf_dir, "documents")
