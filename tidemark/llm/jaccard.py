@@ -1,9 +1,14 @@
 """N-gram Jaccard join by prefix trees.
 
-A document is the set of its word n-grams, as tokens in one global order: rare before frequent, then by hash. How frequent a token is
-comes from a sketch of fixed size over all documents (counts by hash cell, to the power of two). Two sets that are similar enough share one
-of the first n - ceil(t n) + 1 tokens of each; sets that meet at such a token form clusters, and every cluster is joined in prefix trees
-that share the overlap with common beginnings and leave subtrees whose remaining lengths cannot reach the threshold. The result is exact.
+A document is the set of its word n-grams, as 64-bit tokens in one global order. Clusters of sets that may be similar are joined in
+prefix trees (trie.py), which share the overlap with common beginnings and leave subtrees whose remaining lengths cannot reach the
+threshold; the result is exact.
+
+The clusters come from a pigeonhole: two sets of a and b tokens with similarity t or more differ in at most k = (a + b)(1 - t) / (1 + t) tokens.
+If tokens are dealt into more than k parts by hash, one part at least is equal in both. Sets are therefore classed by size, so that similar
+ones fall into the same class or neighbours, each class fixes a number of parts for pairs of its sets with the next, and sets
+meet when the digest of a part agrees. Passages that many documents share do not make them meet: whole parts, a few tokens from all over
+a document, must agree.
 
 Equal sets are one class throughout, named by a 64-bit digest; copies are never paired. Defined results: texts without words, null
 texts included, have the empty set and are linked with nothing; texts under n words have their whole sequence as the one n-gram; repeated
@@ -24,13 +29,12 @@ from .arrow import coded_words, gram_hashes, mixed, slices, word_hashes
 from .common import table, word_count
 from .trie import linked
 
-CELLS = 1 << 18
-PARTS = 16
-HASH_BITS = np.uint64(58)
+#: Parts beyond those that the pigeonhole needs. A set with at most so many empty parts shares one with tokens in it.
+SPARE = 3
 
 
-def token_sets(texts: pa.Array, n: int, lower: bool, level: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct tokens of all texts, ascending inside a text, and where each text's begin. level: power of two of a cell's count."""
+def token_sets(texts: pa.Array, n: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct tokens of all texts, ascending inside a text, and where each text's begin."""
     words, at, begins = coded_words(texts, lower)
     h = word_hashes(words)[at] if len(at) else np.zeros(0, np.uint64)
     grams, sizes = gram_hashes(h, n), np.diff(begins)
@@ -41,8 +45,6 @@ def token_sets(texts: pa.Array, n: int, lower: bool, level: np.ndarray | None) -
     place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins[:-1] - (ends - counts), counts)
     alone = [xxhash.xxh64_intdigest(" ".join(words[x] for x in at[begins[i]:begins[i + 1]]), 99) for i in short]
     key = np.concatenate((grams[place], np.array(alone, dtype=np.uint64)))
-    if level is not None:
-        key = (level[(key & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64) << HASH_BITS) | (key >> np.uint64(64 - int(HASH_BITS)))
     order = np.lexsort((key, doc))
     key, doc = key[order], doc[order]
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))) if len(key) else np.zeros(0, bool)
@@ -55,28 +57,47 @@ def digests(tokens: np.ndarray, begins: np.ndarray) -> np.ndarray:
     return mixed(total[begins[1:]] - total[begins[:-1]] + np.diff(begins).astype(np.uint64)).view(np.int64)
 
 
-def frequency_levels(docs: DataFrame, n: int, lower: bool) -> np.ndarray:
-    """Of every cell, the power of two of the number of (document, token) in it, over all documents: 256 KB, whatever the input."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            for part in slices(batch, 0):
-                tokens, _ = token_sets(part.column(0), n, lower, None)
-                cells += np.bincount((tokens & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([x.astype("<u4").tobytes() for x in np.split(cells, PARTS)], pa.binary())], names=["part", "cells"])
-
-    def add(rows: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in rows.column("cells").to_pylist())
-        level = np.minimum(np.floor(np.log2(np.maximum(total, 1))), 63).astype(np.uint8)
-        return pa.table({"part": rows.column("part")[:1], "level": pa.array([level.tobytes()], pa.binary())})
-
-    rows = docs.select("text").mapInArrow(count, "part int, cells binary").groupBy("part").applyInArrow(add, "part int, level binary").collect()
-    level = np.frombuffer(b"".join(r["level"] for r in sorted(rows)), np.uint8) if rows else np.zeros(CELLS, np.uint8)
-    return (level - level.min()).clip(0, 63)
+def size_classes(most: int, percent: int) -> np.ndarray:
+    """Smallest sizes of the classes, up to one beyond `most`: sets at `percent` or more are in one class or in neighbours."""
+    least = [1]
+    while least[-1] <= most:
+        least.append(least[-1] * 100 // percent + 1)
+    return np.array([*least, least[-1] * 100 // percent + 1, (least[-1] * 100 // percent + 1) * 100 // percent + 1], dtype=np.int64)
+
+
+def part_keys(tokens: np.ndarray, begins: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which sets meet, and the set of each: a digest of every part with tokens, for pairs with the class above and with the
+    class below; and one more key for sets with more than SPARE empty parts, which may share nothing but these."""
+    counts = np.diff(begins)
+    least = size_classes(int(counts.max()) if len(counts) else 1, percent)
+    own = np.searchsorted(least, counts, "right") - 1
+    larger = np.minimum(least[2:] - 1, (least[1:-1] - 1) * 100 // percent)
+    parts = (100 - percent) * (least[1:-1] - 1 + larger) // (100 + percent) + 1 + SPARE
+    doc = np.repeat(np.arange(len(counts)), counts)
+    keys, owners = [], []
+    hashed, value = mixed(tokens ^ np.uint64(0x2545F4914F6CDD1D)), mixed(tokens + np.uint64(0x9E3779B97F4A7C15))
+    for family in (own, own - 1):
+        real = (family >= 0) & (counts > 0)
+        number = np.where(real, parts[np.maximum(family, 0)], 0)
+        ends = np.cumsum(number)
+        mine = real[doc]
+        at = (ends - number)[doc[mine]] + (hashed[mine] % number[doc[mine]].astype(np.uint64)).astype(np.int64)
+        total = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
+        np.add.at(total, at, value[mine])
+        full = np.bincount(at, minlength=len(total)) > 0
+        owner = np.repeat(np.arange(len(counts)), number)
+        place = np.arange(len(total)) - (ends - number)[owner]
+        salt = family[owner].astype(np.uint64) * np.uint64(1 << 32) + place.astype(np.uint64)
+        keys.append(mixed(total + mixed(salt))[full])
+        owners.append(owner[full])
+        bare = np.flatnonzero(number - np.bincount(owner[full], minlength=len(counts)) > SPARE)
+        keys.append(mixed(family[bare].astype(np.uint64) + np.uint64(0x8000000000000000)))
+        owners.append(bare)
+    return np.concatenate(keys), np.concatenate(owners)
 
 
 def meet(rows: pa.Table) -> pa.Table:
-    """Of every token that several sets begin with: its smallest set paired with each of the others."""
+    """Of every key that several sets have: its smallest set paired with each of the others."""
     token = np.frombuffer(b"".join(rows.column("token").to_pylist()), "<u8")
     node = np.frombuffer(b"".join(rows.column("node").to_pylist()), "<i8")
     order = np.lexsort((node, token))
@@ -92,39 +113,39 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, lower: bool = True) ->
     """doc_id, row_key (of id and text), component (its digest, null for the empty set), n_shingles and component_id of every row.
 
     Sets link when 100 * intersection >= percent * union. docs: doc_id, text, and any other columns."""
-    level = frequency_levels(docs, n, lower)
     buckets = max(64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("row_key"), "text")
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row a document, and packed rows of first tokens by bucket."""
         for batch in batches:
             for part in slices(batch, 2):
-                tokens, begins = token_sets(part.column(2), n, lower, level)
-                counts, node = np.diff(begins), digests(tokens, begins)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(node, mask=counts == 0), pa.array(counts), pa.nulls(len(counts), pa.int32()), pa.nulls(len(counts), pa.binary()), pa.nulls(len(counts), pa.binary())],
-                    names=["doc_id", "row_key", "node", "n", "bucket", "token", "nodes"])
+                tokens, begins = token_sets(part.column(2), n, lower)
+                counts = np.diff(begins)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests(tokens, begins), mask=counts == 0), pa.array(counts)],
+                                                 names=["doc_id", "row_key", "node", "n_shingles"])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keys and sets, packed into a row for each bucket of keys; equal sets once."""
+        for batch in batches:
+            for part in slices(batch, 0):
+                tokens, begins = token_sets(part.column(0), n, lower)
+                node = digests(tokens, begins)
+                key, owner = part_keys(tokens, begins, percent)
                 _, one = np.unique(node, return_index=True)
-                one = one[counts[one] > 0]
-                prefix = counts[one] - (percent * counts[one] + 99) // 100 + 1
-                ends = np.cumsum(prefix)
-                mine = tokens[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins[one] - (ends - prefix), prefix)]
-                owner = np.repeat(node[one], prefix)
-                bucket = (mixed(mine) % np.uint64(buckets)).astype(np.int32)
+                first = np.zeros(len(node), bool)
+                first[one] = True
+                key, owner = key[first[owner]], node[owner[first[owner]]]
+                bucket = (key % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
-                mine, owner, bucket = mine[order], owner[order], bucket[order]
+                key, owner, bucket = key[order], owner[order], bucket[order]
                 names = np.unique(bucket)
                 cut = np.searchsorted(bucket, [*names, buckets])
-                k = len(names)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(names, pa.int32()),
-                     pa.array([mine[cut[i]:cut[i + 1]].astype("<u8").tobytes() for i in range(k)], pa.binary()), pa.array([owner[cut[i]:cut[i + 1]].astype("<i8").tobytes() for i in range(k)], pa.binary())],
-                    names=["doc_id", "row_key", "node", "n", "bucket", "token", "nodes"])
+                    [pa.array(names, pa.int32()), pa.array([key[a:b].astype("<u8").tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
+                     pa.array([owner[a:b].astype("<i8").tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["bucket", "token", "node"])
 
-    first = written(rows.mapInArrow(sized, "doc_id long, row_key long, node long, n long, bucket int, token binary, nodes binary"), "first-tokens")
-    members = first.where("bucket IS NULL").select("doc_id", "row_key", "node", F.col("n").alias("n_shingles"))
-    candidates = written(first.where("bucket IS NOT NULL").select("bucket", "token", F.col("nodes").alias("node")).groupBy("bucket").applyInArrow(meet, "a long, b long").distinct(), "candidates")
+    members = written(rows.mapInArrow(sized, "doc_id long, row_key long, node long, n_shingles long"), "set-members")
+    candidates = written(rows.select("text").mapInArrow(keyed, "bucket int, token binary, node binary").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct(), "candidates")
 
     wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
     chosen = members.join(wanted, "node").groupBy("node").agg(F.min("row_key").alias("row_key")).select("row_key").distinct()
@@ -133,7 +154,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, lower: bool = True) ->
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0):
-                tokens, begins = token_sets(part.column(0), n, lower, level)
+                tokens, begins = token_sets(part.column(0), n, lower)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(digests(tokens, begins)), pa.array(np.diff(begins)), pa.array([tokens[a:b].astype("<u8").tobytes() for a, b in zip(begins, begins[1:])], pa.binary())],
                     names=["node", "n", "tokens"])
