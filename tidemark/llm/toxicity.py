@@ -38,9 +38,9 @@ REMEMBERED = 400_000
 @dataclass(frozen=True)
 class Limits:
     """The training sample: documents of either kind, and characters of all of them together."""
-    toxic: int = 2_500
-    ordinary: int = 7_500
-    chars: int = 40_000_000
+    toxic: int = 1_500
+    ordinary: int = 4_500
+    chars: int = 24_000_000
 
 
 @dataclass(frozen=True)
@@ -133,19 +133,25 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray
 def toxic_words(docs: list[tuple[list[str], int]]) -> list[str]:
     """Words that are markedly more toxic documents' own, once for each of their uses there. A word's use in a document counts as far
     as both the word before and the word after it are new: copies, also altered ones, bring few new neighbours."""
-    near: list[dict[str, tuple[set, set]]] = [{}, {}]
-    for words, label in docs:
-        fresh: dict[str, tuple[str, str]] = {}
-        for left, w, right in zip(["", *words], words, [*words[1:], ""]):
-            fresh.setdefault(w, (left, right))
-        for w, (left, right) in fresh.items():
-            before, after = near[label].setdefault(w, (set(), set()))
-            before.add(left)
-            after.add(right)
-    count = [{w: min(len(b), len(a)) for w, (b, a) in side.items()} for side in near]
+    def spread(label: int, only: set[str] | None) -> dict[str, int]:
+        near: dict[str, tuple[set, set]] = {}
+        for words, kind in docs:
+            if kind == label:
+                fresh: dict[str, tuple[str, str]] = {}
+                for left, w, right in zip(["", *words], words, [*words[1:], ""]):
+                    if only is None or w in only:
+                        fresh.setdefault(w, (left, right))
+                for w, (left, right) in fresh.items():
+                    before, after = near.setdefault(w, (set(), set()))
+                    before.add(left)
+                    after.add(right)
+        return {w: min(len(b), len(a)) for w, (b, a) in near.items()}
+
     ratio = max(1.0, sum(1 - label for _, label in docs) / max(1, sum(label for _, label in docs)))
     least = max(3, 0.015 * sum(label for _, label in docs))
-    return [w for w, n in sorted(count[1].items()) if w and n >= least and n * ratio >= 8 * (count[0].get(w, 0) + 1) for _ in range(n)]
+    many = {w: n for w, n in spread(1, None).items() if w and n >= least}
+    plain = spread(0, set(many))
+    return [w for w, n in sorted(many.items()) if n * ratio >= 8 * (plain.get(w, 0) + 1) for _ in range(n)]
 
 
 def dictionary(samples: list[str], size: int) -> bytes:
