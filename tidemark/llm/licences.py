@@ -97,15 +97,30 @@ def normalised(sentence: str) -> str:
     return re.sub(r"[^a-z0-9․]+", " ", s).replace("․", ".").strip()
 
 
+def narrowed(sentence: str, pattern: re.Pattern) -> tuple[int, int]:
+    """The lines of a sentence that its match needs: without a closing mark, lines before run into it."""
+    cuts = [0, *(i + 1 for i, c in enumerate(sentence) if c == "\n")]
+    low, high = 0, len(cuts) - 1
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if pattern.search(normalised(sentence[cuts[mid]:])) else (low, mid - 1)
+    a, ends = cuts[low], [*(c - 1 for c in cuts[low + 1:]), len(sentence)]
+    low, high = 0, len(ends) - 1
+    while low < high:
+        mid = (low + high) // 2
+        low, high = (low, mid) if pattern.search(normalised(sentence[a:ends[mid]])) else (mid + 1, high)
+    return a + len(sentence[a:]) - len(sentence[a:].lstrip()), ends[low]
+
+
 def identified(text: str) -> list[tuple[str, int, int]]:
     """(identifier, start, end) of every known licence sentence, by place; a sentence may hold several."""
     out = []
     for m in _SENTENCE.finditer(text):
         if _NEEDED.search(m[0]) or " as is" in m[0].lower() or "\nas is" in m[0].lower():
             s = normalised(m[0])
-            hits = sorted((h.start(), name) for name, p in _PATTERNS if (h := p.search(s)))
-            lead = len(m[0]) - len(m[0].lstrip())
-            out += [(name, m.start() + lead, m.end()) for _, name in hits]
+            for _, name, p in sorted(((h.start(), name, p) for name, p in _PATTERNS if (h := p.search(s))), key=lambda x: x[:2]):
+                a, b = narrowed(m[0], p)
+                out.append((name, m.start() + a, m.start() + b))
     return out
 
 

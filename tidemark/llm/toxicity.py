@@ -191,6 +191,8 @@ def train(docs: DataFrame, labels: DataFrame, limits: Limits = Limits(), toxic_s
     sample = sorted(tuple(r) for r in rows.collect())
     texts = [(text, label) for text, label, first in sample if first]
     rest = [(text, label) for text, label, first in sample if not first] or texts
+    if not rest:
+        return Model(b"", b"", (0.0,) * 8, shares[1] / (shares[0] + shares[1]))
     words, at, begins = words_of(pa.array([t for t, _ in texts], pa.string()))
     cut = [([w for w in (words[j] for j in at[begins[i]:begins[i + 1]]) if w], y) for i, (_, y) in enumerate(texts)]
     rng = random.Random(7)
