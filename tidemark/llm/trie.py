@@ -10,7 +10,7 @@ from tidemark.session import written
 from .components import components
 
 #: Sets of a block; a task holds two blocks.
-BLOCK = 256
+BLOCK = 1024
 
 
 class Trie:
