@@ -91,7 +91,7 @@ def targets_dated(spark, sf):
 
 @query("lines_with_partner", "PRJ-04 JN-01", cte("base") + """
 SELECT partner_id, order_date, revenue_usd, partner_type, country,
-       CASE WHEN onboarded_date < DATE '1999-01-01' THEN 'Onboarded pre-1999' ELSE 'Onboarded 1999+' END AS cohort,
+       CASE WHEN onboarded_date < DATE '1995-01-01' THEN 'Onboarded pre-1995' ELSE 'Onboarded 1995+' END AS cohort,
        round((order_date - onboarded_date) / 30.44, 1) AS tenure_months FROM base""", dbl="revenue_usd tenure_months")
 def lines_with_partner(spark, sf):
     t = tables(spark, sf)
@@ -196,7 +196,7 @@ UNION ALL SELECT 'master partners without targets', count(*) FROM master WHERE p
 UNION ALL SELECT 'region differs from master', count(*) FROM dims WHERE region <> mr
 UNION ALL SELECT 'tier differs from master', count(*) FROM dims WHERE tier <> mt
 UNION ALL SELECT 'partners ordering before onboarding', count(*) FROM first_order JOIN master USING (partner_id) WHERE d < onboarded_date
-UNION ALL SELECT 'partners onboarded in the window', count(*) FROM master WHERE onboarded_date >= DATE '1999-01-01'
+UNION ALL SELECT 'partners onboarded in the window', count(*) FROM master WHERE onboarded_date >= DATE '1995-01-01'
 UNION ALL SELECT 'outlier lines', count(*) FROM lines WHERE is_outlier"""
 
 

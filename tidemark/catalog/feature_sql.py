@@ -13,7 +13,7 @@ def lag(src, col, ks, name):
 
 define("cut", "", "SELECT *, CONCAT(c // 4, '-Q', c % 4 + 1) AS cutoff, "
        "CAST(make_date(c // 4, (c % 4) * 3 + 1, 1) + INTERVAL 3 MONTH - INTERVAL 1 DAY AS DATE) AS cend "
-       "FROM (SELECT unnest(range(7999, 8006)) AS c)")
+       "FROM (SELECT unnest(range(7983, 8006)) AS c)")
 define("pop", "master cut", "SELECT m.*, cutoff, c, cend FROM master m CROSS JOIN cut WHERE onboarded_date <= cend")
 define("qlag", "pop pq", f"""
 SELECT p.partner_id, p.c, {lag('q', 'revenue_usd', range(10), 'r')}, {lag('q', 'order_lines', range(6), 'n')},

@@ -31,7 +31,7 @@ def growth_vs_shrinking(spark, sf):
 
 
 define("cohort", "pq master", """
-SELECT pq.region, CASE WHEN onboarded_date < DATE '1999-01-01' THEN 'Onboarded pre-1999' ELSE 'Onboarded 1999+' END AS cohort, quarter, sum(revenue_usd) AS revenue
+SELECT pq.region, CASE WHEN onboarded_date < DATE '1995-01-01' THEN 'Onboarded pre-1995' ELSE 'Onboarded 1995+' END AS cohort, quarter, sum(revenue_usd) AS revenue
 FROM pq JOIN master USING (partner_id) GROUP BY 1, 2, 3""")
 
 
@@ -41,9 +41,9 @@ def cohort_revenue(spark, sf):
 
 
 @query("new_partner_growth", "IN-03", cte("cohort") + """
-SELECT region, CAST(coalesce(sum(revenue) FILTER (cohort = 'Onboarded pre-1999' AND quarter = '2001-Q2'), 0) AS DOUBLE)
-  / nullif(CAST(sum(revenue) FILTER (cohort = 'Onboarded pre-1999' AND quarter = '2000-Q2') AS DOUBLE), 0) - 1 AS existing_yoy,
-  coalesce(sum(revenue) FILTER (cohort = 'Onboarded 1999+' AND quarter = '2001-Q2'), 0) AS new_cohort_revenue FROM cohort GROUP BY 1""", dbl="existing_yoy new_cohort_revenue")
+SELECT region, CAST(coalesce(sum(revenue) FILTER (cohort = 'Onboarded pre-1995' AND quarter = '2001-Q2'), 0) AS DOUBLE)
+  / nullif(CAST(sum(revenue) FILTER (cohort = 'Onboarded pre-1995' AND quarter = '2000-Q2') AS DOUBLE), 0) - 1 AS existing_yoy,
+  coalesce(sum(revenue) FILTER (cohort = 'Onboarded 1995+' AND quarter = '2001-Q2'), 0) AS new_cohort_revenue FROM cohort GROUP BY 1""", dbl="existing_yoy new_cohort_revenue")
 def new_partner_growth(spark, sf):
     return ins.new_partners(tables(spark, sf))
 
@@ -115,7 +115,7 @@ SELECT *, coalesce(n >= 2 AND b > 0, false) AS eligible, coalesce(n >= 2 AND b >
 FROM (SELECT partner_id, tier, quarter, CAST(revenue_usd AS DOUBLE) AS rev, avg(CAST(revenue_usd AS DOUBLE)) OVER p AS b, count(*) OVER p AS n,
         lead(CAST(revenue_usd AS DOUBLE)) OVER (PARTITION BY partner_id ORDER BY qi) AS next_rev
       FROM pq WINDOW p AS (PARTITION BY partner_id ORDER BY qi ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING))
-WHERE quarter >= '2000-Q1'""")
+WHERE quarter >= '1996-Q1'""")
 define("cn", "cs", """
 SELECT quarter, count(*) FILTER (eligible) AS eligible_partners, count(*) FILTER (leaver) AS naive_leavers,
   CAST(count(*) FILTER (leaver) AS DOUBLE) / nullif(count(*) FILTER (eligible), 0) AS rate,

@@ -29,7 +29,7 @@ SELECT c_custkey AS partner_id, c_name AS partner_name, r_name AS region,
        CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'Platinum' WHEN 'BUILDING' THEN 'Gold'
             WHEN 'FURNITURE' THEN 'Silver' ELSE 'Business' END AS tier,
        CASE c_custkey % 3 WHEN 0 THEN 'Distributor' WHEN 1 THEN 'Reseller' ELSE 'Service Provider' END AS partner_type,
-       n_name AS country, DATE '1997-01-01' + CAST((c_custkey * 37) % 1460 AS INT) AS onboarded_date
+       n_name AS country, DATE '1993-01-01' + CAST((c_custkey * 37) % 2920 AS INT) AS onboarded_date
 FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 
 define("sales", "master", """
@@ -39,16 +39,16 @@ SELECT CAST(o_orderdate AS DATE) AS order_date, m.partner_id, m.partner_name, m.
        CAST(5 + l_partkey % 16 AS DECIMAL(5,2)) AS margin_pct
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN master m ON o_custkey = m.partner_id
      JOIN part ON l_partkey = p_partkey
-WHERE o_orderdate >= DATE '1999-01-01' AND o_orderdate < DATE '2001-07-01'
+WHERE o_orderdate >= DATE '1995-01-01' AND o_orderdate < DATE '2001-07-01'
 UNION ALL
 SELECT DATE '2001-03-27', partner_id, partner_name, region, tier, 'PROMO', CAST(12800 AS BIGINT),
        CAST(37800000 AS DECIMAL(18,4)), CAST(10 AS DECIMAL(5,2))
 FROM master WHERE partner_id = 18""")
 
 define("targets", "master", """
-SELECT partner_id, CONCAT(1999 + CAST(floor(q / 4) AS INT), '-Q', 1 + q % 4) AS quarter,
+SELECT partner_id, CONCAT(1995 + CAST(floor(q / 4) AS INT), '-Q', 1 + q % 4) AS quarter,
        CAST(40000 + 1000 * (partner_id % 60) + 2000 * q AS DECIMAL(18,4)) AS target_usd
-FROM master CROSS JOIN (SELECT unnest(range(0, 10)) AS q) AS qs WHERE partner_id % 10 <> 0""")
+FROM master CROSS JOIN (SELECT unnest(range(0, 26)) AS q) AS qs WHERE partner_id % 10 <> 0""")
 
 define("lim", "sales", """
 SELECT product_family, 20 * quantile_cont(CAST(revenue_usd AS DOUBLE), 0.99) AS outlier_above FROM sales GROUP BY 1""")
@@ -66,7 +66,7 @@ SELECT l.*, m.partner_type, m.onboarded_date, m.country
 FROM lines l JOIN master m USING (partner_id) WHERE NOT is_outlier""")
 
 define("months", "", """
-SELECT CAST(unnest(generate_series(DATE '1999-01-01', DATE '2001-06-01', INTERVAL 1 MONTH)) AS DATE) AS month""")
+SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-06-01', INTERVAL 1 MONTH)) AS DATE) AS month""")
 
 define("pm", "master months base", """
 SELECT g.partner_id, g.region, g.tier, g.partner_type, g.month,
@@ -99,7 +99,7 @@ SELECT m.*, r.first_order, r.last_order, r.order_days, r.typical_gap_days, q.* E
        CASE WHEN revenue_prev4q_avg > 0 THEN CAST(revenue_last_q AS DOUBLE) / revenue_prev4q_avg END AS last_q_vs_prev4q,
        DATE '2001-06-30' - last_order AS days_since_last_order,
        round((DATE '2001-06-30' - onboarded_date) / 30.44, 1) AS tenure_months,
-       CASE WHEN onboarded_date < DATE '1999-01-01' THEN 'Onboarded pre-1999' ELSE 'Onboarded 1999+' END AS cohort,
+       CASE WHEN onboarded_date < DATE '1995-01-01' THEN 'Onboarded pre-1995' ELSE 'Onboarded 1995+' END AS cohort,
        (DATE '2001-06-30' - last_order) / nullif(typical_gap_days, 0) AS recency_vs_typical_gap,
        round((DATE '2001-06-30' - onboarded_date) / 30.44, 1) < 12 AS is_ramping
 FROM master m

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..settings import ChannelSettings
 
 SETTINGS = ChannelSettings(
-    start=date(1999, 1, 1), end=date(2001, 6, 30),
+    start=date(1995, 1, 1), end=date(2001, 6, 30),
     regions=("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"),
     tiers=("Platinum", "Gold", "Silver", "Business"),
     families=("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"),
@@ -73,7 +73,7 @@ class Channel:
             k.alias("partner_id"), F.col("c_name").alias("partner_name"), F.col("r_name").alias("region"),
             F.coalesce(tier[F.col("c_mktsegment")], F.lit("Business")).alias("tier"),
             kinds[(k % 3).cast("int")].alias("partner_type"), F.col("n_name").alias("country"),
-            F.date_add(F.lit(date(1997, 1, 1)), ((k * 37) % 1460).cast("int")).alias("onboarded_date"))
+            F.date_add(F.lit(date(1993, 1, 1)), ((k * 37) % 2920).cast("int")).alias("onboarded_date"))
 
     def _priced(self) -> DataFrame:
         """Order lines of the window with their family and revenue, before any partner attribute."""
