@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import decontaminate, encode, jaccard, licences, lines, mixing, search, secrets, substring, toxicity
+from tidemark.llm import decontaminate, encode, jaccard, licences, lines, mixing, search, secrets, substring, toxicity, trie
 
 ITEMS = [(1, "quick brown fox jumps over the lazy dog while seven"), (None, "grey geese fly south across a cold blue lake"), (2, None), (3, ""), (4, "one two"), (1, "quick brown fox jumps over the lazy dog while seven")]
 
@@ -128,8 +128,9 @@ def test_jaccard(odd, nothing):
     assert jaccard.join(nothing).count() == 0
 
 
-@pytest.mark.parametrize("percent", [50, 85, 95])
-def test_jaccard_equals_all_pairs(spark, percent):
+@pytest.mark.parametrize("percent,block", [(50, 1024), (85, 1024), (95, 8), (60, 4), (85, 8)])
+def test_jaccard_equals_all_pairs(spark, percent, block, monkeypatch):
+    monkeypatch.setattr(trie.linked, "__defaults__", (block,))
     import numpy as np
     rng = np.random.default_rng(percent)
     rows, base = [], []
@@ -156,7 +157,8 @@ def test_jaccard_equals_all_pairs(spark, percent):
     assert got == {i: root(i) for i in range(len(rows))}
 
 
-def test_large_clusters_are_cut_into_blocks(spark):
+def test_large_clusters_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(trie.linked, "__defaults__", (64,))
     import numpy as np
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(200)]

@@ -56,24 +56,33 @@ class Trie:
         self.first = np.cumsum([0] + [len(c) for c in children])
         self.child = np.array([x for c in children for x in c], dtype=np.int64)
         self.sizes = np.array([len(s) for s in sets])
+        self.last = np.arange(len(begin))  # nodes are in preorder: a subtree is the nodes from its own to `last`
+        for node in range(len(begin) - 1, -1, -1):
+            if children[node]:
+                self.last[node] = max(self.last[c] for c in children[node])
+        self.known, self.tokens = np.unique(self.tokens, return_inverse=True)
+        self.end_token = np.array([r[-1] if len(r) else 0 for r in runs], dtype=np.uint64)
+        self.held = np.zeros(len(self.known) + 1, bool)
 
-    def similar(self, probe: np.ndarray, percent: int) -> np.ndarray:
-        """The sets with 100 * intersection >= percent * union. Level by level, all nodes of a level at once; a subtree is left
-        when even all its remaining tokens, or all of the probe's, could not make up the overlap that its smallest set needs."""
+    def similar(self, probe: np.ndarray, percent: int, wanted: np.ndarray) -> np.ndarray:
+        """Of the `wanted` sets, those with 100 * intersection >= percent * union. Level by level, all nodes of a level at once; a
+        subtree is left when it has no wanted set, or when even all its remaining tokens, or all of the probe's, could not make
+        up the overlap that its smallest set needs."""
         n, found = len(probe), []
-        nodes, overlap = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        at = np.minimum(np.searchsorted(self.known, probe), len(self.known) - 1)
+        at = at[self.known[at] == probe] if len(self.known) else at[:0]
+        self.held[at] = True
+        asked = np.concatenate(([0], np.cumsum((self.leaf >= 0) & wanted[np.maximum(self.leaf, 0)])))
+        asked = asked[self.last + 1] - asked[:-1] > 0
+        nodes, overlap = np.flatnonzero(asked[:1]), np.zeros(1, np.int64)
         while len(nodes):
+            overlap = overlap[:len(nodes)]
             lengths = self.length[nodes]
             ends = np.cumsum(lengths)
-            total = int(ends[-1])
-            if total:
-                run = self.tokens[np.arange(total) + np.repeat(self.begin[nodes] - (ends - lengths), lengths)]
-                at = np.searchsorted(probe, run)
-                held = np.concatenate(([0], np.cumsum(probe[np.minimum(at, n - 1)] == run)))
-                overlap = overlap + held[ends] - held[ends - lengths]
-                passed = np.where(lengths > 0, at[np.maximum(ends, 1) - 1], 0)
-            else:
-                passed = np.zeros(len(nodes), np.int64)
+            run = self.tokens[np.arange(int(ends[-1])) + np.repeat(self.begin[nodes] - (ends - lengths), lengths)]
+            held = np.concatenate(([0], np.cumsum(self.held[run])))
+            overlap = overlap + held[ends] - held[ends - lengths]
+            passed = np.where(lengths > 0, np.searchsorted(probe, self.end_token[nodes], "right"), 0)
             leaf = self.leaf[nodes]
             whole = leaf >= 0
             if whole.any():
@@ -87,56 +96,82 @@ class Trie:
             total = int(ends[-1]) if len(ends) else 0
             overlap = np.repeat(overlap, counts)
             nodes = self.child[np.arange(total) + np.repeat(self.first[nodes] - (ends - counts), counts)] if total else nodes[:0]
-        return np.concatenate(found) if found else np.zeros(0, np.int64)
+            keep = asked[nodes]
+            nodes, overlap = nodes[keep], overlap[keep]
+        self.held[at] = False
+        found = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return found[wanted[found]]
 
 
 def block_links(rows: pa.Table, percent: int) -> pa.Table:
-    """Links inside a task's one block or between its two, as many as connect what is connected."""
-    ids = rows.column("node").to_numpy()
-    side = rows.column("side").to_numpy()
+    """Links inside a task's one block or between its two, as many as connect what is connected. Sets that a label or earlier links
+    connect already are not compared."""
+    ids, side, label = rows.column("node").to_numpy(), rows.column("side").to_numpy(), rows.column("label").to_numpy()
     sets = [np.frombuffer(x, "<u8") for x in rows.column("tokens").to_pylist()]
-    left = np.flatnonzero(side == 0)
-    right = np.flatnonzero(side == 1)
-    tree, tree_ids = (left, ids[left]) if len(left) else (right, ids[right])
-    probes = right if len(right) else left
-    above = {int(x): int(x) for x in ids}
-
-    def root(x: int) -> int:
-        while above[x] != x:
-            above[x] = above[above[x]]
-            x = above[x]
-        return x
-
+    _, label = np.unique(label, return_inverse=True)
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    tree, probes = (left, right) if len(left) and len(right) else (np.arange(len(ids)),) * 2
     trie, out = Trie([sets[i] for i in tree]), []
     for p in probes:
-        for q in trie.similar(sets[p], percent):
-            a, b = root(int(ids[p])), root(int(tree_ids[q]))
-            if a != b:
-                above[max(a, b)] = min(a, b)
-                out.append((int(ids[p]), int(tree_ids[q])))
+        for q in trie.similar(sets[p], percent, label[tree] != label[p]):
+            if label[tree[q]] != label[p]:
+                out.append((int(ids[p]), int(ids[tree[q]])))
+                label[label == label[tree[q]]] = label[p]
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
-def linked(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def linked(candidates: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
     """node, label: components of all links of at least `percent` between sets that candidates connect.
 
     candidates: a, b; pairs that stand for groups: every two nodes that candidates connect, over however many steps, are
     compared. sets: node, n, tokens (ascending 64-bit unsigned, little-endian) of at least those nodes. A cluster of any size is cut
-    into blocks by size class and digest; a task compares two blocks, and blocks of sizes too far apart are not compared."""
-    cluster = written(components(candidates).join(sets.select("node", "n"), "node"), "clusters")
-    ratio = 100.0 / percent
-    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(ratio)) + 1e-9).cast("int")
-    whole = cluster.groupBy("label").agg(F.count("*").alias("members"))
-    small = cluster.join(whole, "label").withColumn("class", F.when(F.col("members") <= BLOCK, F.lit(0)).otherwise(size))
-    parts = small.groupBy("label", "class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    placed = written(small.join(parts, ["label", "class"]).select("node", "label", "class", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int").alias("part")), "blocks")
-    block = parts.select("label", "class", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    near = block.select("label", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class"), F.col("class").alias("class1"), F.col("part").alias("part1"))
-    pairs = near.join(block.withColumnRenamed("part", "part2"), ["label", "class"]).withColumnRenamed("class", "class2").where(
-        "class1 > class2 OR part1 >= part2").withColumn("task", F.xxhash64("label", "class1", "part1", "class2", "part2"))
-    pairs = written(pairs, "block-pairs")
-    sides = pairs.select("task", "label", F.col("class1").alias("class"), F.col("part1").alias("part"), F.lit(0).alias("side")).union(
-        pairs.where("class1 <> class2 OR part1 <> part2").select("task", "label", "class2", "part2", F.lit(1)))
-    sent = sides.join(placed, ["label", "class", "part"]).select("task", "side", "node").join(sets.select("node", "tokens"), "node")
-    links = sent.select("task", "side", "node", "tokens").groupBy("task").applyInArrow(lambda t: block_links(t, percent), "a long, b long")
+    into blocks by size class and digest; a task compares one block or two; blocks of sizes too far apart are not compared.
+
+    Clusters of several blocks take two more steps. First every block meets the first of its size class, and that the next class's: in
+    a group of copies this connects nearly all. Then all sets outside the cluster's largest component meet all sets, so sets that are
+    connected anyway, however many, are not compared in pairs."""
+    cluster = written(components(candidates).join(sets.select("node", "n"), "node").withColumnRenamed("label", "cluster"), "clusters")
+    members = cluster.groupBy("cluster").agg(F.count("*").alias("members"))
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9).cast("int")
+    sized = cluster.join(members, "cluster").withColumn("class", F.when(F.col("members") <= block, F.lit(0)).otherwise(size))
+
+    def cut(rows: DataFrame, keys: list[str]) -> DataFrame:
+        parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+        return rows.join(parts, keys).withColumn("part", F.pmod(F.xxhash64("node", F.lit(3)), F.col("parts")).cast("int"))
+
+    def compared(sent: DataFrame) -> DataFrame:
+        full = sent.join(sets.select("node", "tokens"), "node").select("task", "side", "node", "label", "tokens")
+        return written(full.groupBy("task").applyInArrow(lambda t: block_links(t, percent), "a long, b long"), "set-links")
+
+    def between(placed: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
+        """Two blocks a task; pairs has the keys of one block with suffix 1 and of the other with 2."""
+        task = F.xxhash64("cluster", *[f"{k}{i}" for k in keys for i in (1, 2)])
+        here = pairs.select(task.alias("task"), F.lit(0).alias("side"), "cluster", *[F.col(f"{k}1").alias(k) for k in keys])
+        other = F.lit(False)
+        for k in keys:
+            other = other | (F.col(f"{k}1") != F.col(f"{k}2"))
+        there = pairs.where(other).select(task.alias("task"), F.lit(1).alias("side"), "cluster", *[F.col(f"{k}2").alias(k) for k in keys])
+        return compared(here.union(there).join(placed, ["cluster", *keys]).select("task", "side", "node", "label"))
+
+    def labelled(rows: DataFrame, links: DataFrame) -> DataFrame:
+        return rows.drop("label").join(components(links), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+    placed = written(cut(sized, ["cluster", "class"]), "blocks")
+    links = compared(placed.select(F.xxhash64("cluster", "class", "part").alias("task"), F.lit(0).alias("side"), "node", F.col("node").alias("label")))
+    large = placed.where(F.col("members") > block)
+    if large.head(1):
+        large = written(labelled(large, links), "large")
+        blocks = large.select("cluster", "class", "part").distinct()
+        star = blocks.where("part > 0").select("cluster", F.col("class").alias("class1"), F.lit(0).alias("part1"), F.col("class").alias("class2"), F.col("part").alias("part2"))
+        step = blocks.where("part = 0").select("cluster", F.col("class").alias("class1"), F.lit(0).alias("part1"), (F.col("class") - 1).alias("class2"), F.lit(0).alias("part2"))
+        links = written(links.union(between(large, star.union(step), ["class", "part"])), "links-so-far")
+        again = labelled(large.select("cluster", "node", "class"), links)
+        counts = again.groupBy("cluster", "label").agg(F.count("*").alias("c"))
+        main = counts.groupBy("cluster").agg(F.max(F.struct("c", "label"))["label"].alias("main"))
+        again = written(cut(again.join(main, "cluster").withColumn("other", (F.col("label") != F.col("main")).cast("int")), ["cluster", "class", "other"]), "large-again")
+        blocks = again.select("cluster", "class", "other", "part").distinct()
+        one = blocks.select("cluster", F.col("class").alias("class1"), F.col("other").alias("other1"), F.col("part").alias("part1"), F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class2"))
+        two = blocks.select("cluster", F.col("class").alias("class2"), F.col("other").alias("other2"), F.col("part").alias("part2"))
+        pairs = one.join(two, ["cluster", "class2"]).where("other1 + other2 > 0 AND (class1 > class2 OR other1 > other2 OR (other1 = other2 AND part1 >= part2))")
+        links = links.union(between(again, pairs, ["class", "other", "part"]))
     return components(links)
