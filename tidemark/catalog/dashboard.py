@@ -144,16 +144,16 @@ def partner_rows_all(spark, sf):
 
 
 @query("partner_list_page", "DB-05 SO-01 FLT-04", cte("prows") + """
-SELECT * EXCLUDE (yoy_decline_streak, rev_drawdown) FROM prows WHERE contains(lower(partner_name), '0001') OR contains(CAST(partner_id AS VARCHAR), '0001')
+SELECT * EXCLUDE (yoy_decline_streak, rev_drawdown), count(*) OVER () AS total FROM prows WHERE contains(lower(partner_name), '0001') OR contains(CAST(partner_id AS VARCHAR), '0001')
 ORDER BY revenue_range DESC NULLS LAST, partner_id LIMIT 25 OFFSET 25""", dbl=PR)
 def partner_list_page(spark, sf):
     return db.partners(tables(spark, sf), scores(spark, sf), db.Filters(q_from="2000-Q3"), search=" 0001 ", page=2)
 
 
 @query("partner_list_segment", "DB-05 JN-06 SO-01", cte("prows") + """
-SELECT * EXCLUDE (yoy_decline_streak, rev_drawdown) FROM prows
+SELECT * EXCLUDE (yoy_decline_streak, rev_drawdown), count(*) OVER () AS total FROM prows
 WHERE segment = 'Stable' AND partner_id IN (SELECT partner_id FROM base WHERE quarter >= '2000-Q3')
-ORDER BY yoy_h1_pct ASC NULLS LAST, partner_id LIMIT 200""", dbl=PR)
+ORDER BY yoy_h1_pct ASC NULLS LAST, partner_id LIMIT 500""", dbl=PR)
 def partner_list_segment(spark, sf):
     t = tables(spark, sf)
     every = db.Filters(q_from="2000-Q3", product_family=tuple(t.settings.families))

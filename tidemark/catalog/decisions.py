@@ -406,14 +406,14 @@ def correctness_features(spark, sf):
 def run_comparison_rules(spark, sf):
     from ..plans.experiments import compare_runs, selection_rules
     d = Desk(spark, sf)
-    return selection_rules(compare_runs(d.proba, d.proba_second, d.tickets, boot=200))
+    return selection_rules(compare_runs(d.proba, d.proba_second, d.tickets, boot=1000))
 
 
 @query("run_comparison_bootstrap", "DE-10")
 def run_comparison_bootstrap(spark, sf):
     from ..plans.experiments import compare_runs
     d = Desk(spark, sf)
-    return compare_runs(d.proba, d.proba_second, d.tickets, boot=200)
+    return compare_runs(d.proba, d.proba_second, d.tickets, boot=1000)
 
 
 @query("holdout_summary", "DE-18", cte("top", "rep", "decin", "truthrow") + f""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..operators import features as ft
 from ..operators import stats
 from ..plans import risk
+from ..session import fingerprint
 from ..sources.fixtures import SETTINGS
 from . import feature_sql as fs
 from .channel_core import stored as tables
@@ -14,14 +15,14 @@ from .registry import query
 from .snapshots import history, panel, score_snapshot
 
 NUM = ft.numeric_features(SETTINGS)
-CUTS = SETTINGS.eval_cutoffs[-2:]
+CUTS = SETTINGS.eval_cutoffs[-4:]
 ITER = dict(gbt_iter=6, lr_iter=15)
 _RESULTS: dict = {}
 
 
 def result(spark, sf) -> risk.RiskResult:
     """Trained once per session and directory, shared by the queries that only report on it."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, fingerprint(spark, sf))
     if key not in _RESULTS:
         _RESULTS[key] = risk.compute(panel(spark, sf), score_snapshot(spark, sf), tables(spark, sf).master, SETTINGS, cutoffs=CUTS, **ITER)
     return _RESULTS[key]
@@ -56,7 +57,7 @@ def risk_variants(spark, sf):
 def risk_variant_bootstrap(spark, sf):
     x = result(spark, sf).oof.select("cutoff", F.col("partner_id").alias("row_id"), "y", F.round("raw", 12).alias("a"))
     heur = panel(spark, sf).select("cutoff", F.col("partner_id").alias("row_id"), (-F.coalesce("lines_per_month_6m", F.lit(0.0))).alias("b"))
-    return stats.auc_bootstrap(x.join(heur, ["cutoff", "row_id"]), ["cutoff"], "y", "a", "b", boot=50)
+    return stats.auc_bootstrap(x.join(heur, ["cutoff", "row_id"]), ["cutoff"], "y", "a", "b", boot=1000)
 
 
 @query("permutation_importance", "ML-11")

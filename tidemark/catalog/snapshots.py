@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 from ..operators import features as ft
+from ..session import cut_lineage, fingerprint
 from ..sources.fixtures import SETTINGS
 from . import feature_sql as fs
 from .channel_core import stored as tables
@@ -21,9 +22,8 @@ def panel(spark, sf, cutoffs=None, label=True):
     """The panel over the given directory. It is written once per session to the checkpoint folder and shared by the
     queries of the same session, as a nightly job would share a stored table."""
     cutoffs = tuple(cutoffs or SETTINGS.train_cutoffs)
-    key = (spark.sparkContext.applicationId, sf, cutoffs, label)
+    key = (spark.sparkContext.applicationId, sf, fingerprint(spark, sf), cutoffs, label)
     if key not in _PANELS:
-        from ..session import cut_lineage
         _PANELS[key] = cut_lineage(ft.build_panel(history(spark, sf), list(cutoffs), SETTINGS, label=label))
     return _PANELS[key]
 

@@ -1,22 +1,25 @@
 """Intake, text-feature and matching queries over all documents."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
 from ..operators import factors, intake, matching, terms
 from ..sources.fixtures import CHANNELS, KNOWN_PRODUCTS, PRIORITIES, Desk
-from .prelude import cte, define
+from ..session import cut_lineage
+from .prelude import CTES, cte, define
 from .registry import query
 
 KNOWN = ", ".join(f"'{p}'" for p in KNOWN_PRODUCTS)
 
 
-@query("model_text", "PRJ-09", cte("tickets") + """
-SELECT ticket_id, md5('CHANNEL_' || channel || ' PRODUCT_' || replace(product, ' ', '_') || ' ' || coalesce(subject, '') || ' ' || coalesce(body, '')) AS digest FROM tickets""")
+@query("model_text", "PRJ-09", cte("inbox") + """
+SELECT ticket_id, md5('CHANNEL_' || channel || ' PRODUCT_' || replace(product, ' ', '_') || ' ' || coalesce(subject, '') || ' ' || coalesce(body, '')) AS digest FROM inbox""")
 def model_text(spark, sf):
-    return Desk(spark, sf).tickets.select("ticket_id", F.md5(tx.ticket_text()).alias("digest"))
+    return Desk(spark, sf).inbox.select("ticket_id", F.md5(tx.ticket_text()).alias("digest"))
 
 
 
@@ -252,43 +255,45 @@ define("tok", "tickets", r"""
 SELECT ticket_id, list_filter(regexp_extract_all(lower('CHANNEL_' || channel || ' PRODUCT_' || replace(product, ' ', '_') || ' ' || subject || ' ' || body), '[\p{L}\p{N}_]{2,}'), lambda x: true) AS w FROM tickets""")
 define("wc", "tok", """
 SELECT ticket_id, term, count(*) AS tf FROM (SELECT ticket_id, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM tok) GROUP BY 1, 2""")
-define("wv", "wc", "SELECT term, count(*) AS df, sum(tf) AS total FROM wc GROUP BY 1 HAVING count(*) >= 2 ORDER BY 3 DESC, 1 LIMIT 100000")
+define("wv", "wc", "SELECT term, count(*) AS df, sum(tf) AS total FROM wc GROUP BY 1 HAVING count(*) >= 2")
 define("ww", "wv", """
 SELECT ticket_id, term, df, raw / sqrt(sum(raw * raw) OVER (PARTITION BY ticket_id)) AS weight FROM
  (SELECT ticket_id, term, df, (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM tickets)) / CAST(1 + df AS DOUBLE)) + 1) AS raw FROM wc JOIN wv USING (term))""")
+for _name, _needs in (("tok", "inbox"), ("wc", "itok"), ("wv", "iwc"), ("ww", "iwv")):  # the same over all tickets, labelled or not
+    define("i" + _name, _needs, re.sub(r"\b(tok|wc|wv)\b", r"i\1", CTES[_name][1]).replace("FROM tickets", "FROM inbox"))
 
 
-@query("word_terms", "TX-01", cte("ww") + "SELECT term, any_value(df) AS df, sum(weight) AS weight FROM ww GROUP BY 1", dbl="weight")
+@query("word_terms", "TX-01", cte("iww") + "SELECT term, any_value(df) AS df, sum(weight) AS weight FROM iww GROUP BY 1", dbl="weight")
 def word_terms(spark, sf):
-    w, v = _weights(Desk(spark, sf).tickets)
+    w, v = _weights(Desk(spark, sf).inbox)
     return w.join(v.select("term", "df"), "term").groupBy("term").agg(F.max("df").alias("df"), F.sum("weight").alias("weight"))
 
 
-@query("word_documents", "TX-01", cte("ww") + "SELECT ticket_id, count(*) AS terms, sum(weight) AS weight, sum(weight * weight) AS norm FROM ww GROUP BY 1", dbl="weight norm")
+@query("word_documents", "TX-01", cte("iww") + "SELECT ticket_id, count(*) AS terms, sum(weight) AS weight, sum(weight * weight) AS norm FROM iww GROUP BY 1", dbl="weight norm")
 def word_documents(spark, sf):
-    return _weights(Desk(spark, sf).tickets)[0].groupBy("ticket_id").agg(
+    return _weights(Desk(spark, sf).inbox)[0].groupBy("ticket_id").agg(
         F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("weight"), F.sum(F.col("weight") * F.col("weight")).alias("norm"))
 
 
 def _weights(docs: DataFrame):
-    counts = terms.word_counts(docs, "ticket_id", tx.ticket_text())
-    vocab = terms.vocabulary(counts, 2, terms.WORD_TERMS)
+    counts = cut_lineage(terms.word_counts(docs, "ticket_id", tx.ticket_text()))  # for the vocabulary and for the weights
+    vocab = terms.vocabulary(counts, 2)
     return terms.weights(counts, vocab, docs, "ticket_id"), vocab
 
 
-define("cw", "tickets", r"""
-SELECT ticket_id, ' ' || w || ' ' AS p, count(*) AS n FROM (SELECT ticket_id, unnest(regexp_split_to_array(lower('CHANNEL_' || channel || ' PRODUCT_' || replace(product, ' ', '_') || ' ' || subject || ' ' || body), '\s+')) AS w FROM tickets)
+define("cw", "inbox", r"""
+SELECT ticket_id, ' ' || w || ' ' AS p, count(*) AS n FROM (SELECT ticket_id, unnest(regexp_split_to_array(lower('CHANNEL_' || channel || ' PRODUCT_' || replace(product, ' ', '_') || ' ' || subject || ' ' || body), '\s+')) AS w FROM inbox)
 WHERE w <> '' GROUP BY 1, 2""")
 define("cc", "cw", """
 SELECT ticket_id, term, sum(n) AS tf FROM (SELECT ticket_id, n, unnest(CASE WHEN length(p) > k THEN list_transform(range(1, length(p) - k + 2), lambda i: substring(p, i, k)) WHEN length(p) = k THEN [p] ELSE [] END) AS term
   FROM cw CROSS JOIN (SELECT unnest([3, 4, 5]) AS k)) GROUP BY 1, 2""")
-define("cv", "cc", "SELECT term, count(*) AS df, sum(tf) AS total FROM cc GROUP BY 1 HAVING count(*) >= 3 ORDER BY 3 DESC, 1 LIMIT 200000")
+define("cv", "cc", "SELECT term, count(*) AS df, sum(tf) AS total FROM cc GROUP BY 1 HAVING count(*) >= 3")
 
 
 @query("char_terms", "TX-02", cte("cv") + "SELECT term, df, total FROM cv", big="total")
 def char_terms(spark, sf):
-    c = terms.char_counts(Desk(spark, sf).tickets, "ticket_id", tx.ticket_text())
-    return terms.vocabulary(c, 3, terms.CHAR_TERMS).select("term", "df", "total")
+    c = terms.char_counts(Desk(spark, sf).inbox, "ticket_id", tx.ticket_text())
+    return terms.vocabulary(c, 3).select("term", "df", "total")
 
 
 @query("chi_square_terms", "TX-03", cte("ww", "tickets") + """,
@@ -305,7 +310,7 @@ def chi_square_terms(spark, sf):
 define("itok", "documents_text", r"SELECT ticket_id, known, regexp_extract_all(lower(body), '[\p{L}\p{N}_]{2,}') AS w FROM documents_text")
 define("documents_text", "", "SELECT d.doc_id AS ticket_id, d.text AS body, l.doc_id IS NOT NULL AS known FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
 define("iwc", "itok", "SELECT ticket_id, known, term, count(*) AS tf FROM (SELECT ticket_id, known, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS term FROM itok) GROUP BY 1, 2, 3")
-define("iv", "iwc", "SELECT term, count(*) AS df, sum(tf) AS total FROM iwc WHERE known GROUP BY 1 HAVING count(*) >= 2 ORDER BY 3 DESC, 1 LIMIT 100000")
+define("iv", "iwc", "SELECT term, count(*) AS df, sum(tf) AS total FROM iwc WHERE known GROUP BY 1 HAVING count(*) >= 2")
 define("iw", "iv", """
 SELECT ticket_id, known, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY ticket_id)) AS weight FROM (SELECT ticket_id, known, term,
   (1 + ln(tf)) * (ln((1 + (SELECT count(*) FROM documents_text WHERE known)) / CAST(1 + df AS DOUBLE)) + 1) AS raw FROM iwc JOIN iv USING (term))""")
@@ -321,7 +326,7 @@ def novelty_frame(spark, sf):
         d.table("labels").select(F.col("doc_id").alias("ticket_id"), F.lit(1).alias("_l")), "ticket_id", "left")
     known, rest = x.where("_l IS NOT NULL"), x.where("_l IS NULL")
     kc, rc = (terms.word_counts(y, "ticket_id", F.col("body")) for y in (known, rest))
-    vocab = terms.vocabulary(kc, 2, terms.WORD_TERMS)
+    vocab = terms.vocabulary(kc, 2)
     return matching.novelty(terms.weights(rc, vocab, known, "ticket_id"), terms.weights(kc, vocab, known, "ticket_id"), rest, "ticket_id")
 
 

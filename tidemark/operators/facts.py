@@ -24,12 +24,13 @@ def enrich_lines(sales: DataFrame) -> DataFrame:
 
 def outlier_limits(sales: DataFrame, multiple: float = OUTLIER_MULTIPLE) -> DataFrame:
     """product_family -> the revenue above which a line counts as an outlier."""
-    q = exact_quantiles(sales, ["product_family"], "revenue_usd", {"p99": OUTLIER_QUANTILE})
+    q = exact_quantiles(sales, ["product_family"], "revenue_usd", {"p99": OUTLIER_QUANTILE}, few_groups=True)
     return q.select("product_family", (F.col("p99") * multiple).alias("outlier_above"))
 
 
 def flag_outliers(lines: DataFrame, sales: DataFrame | None = None, multiple: float = OUTLIER_MULTIPLE) -> DataFrame:
     limits = outlier_limits(lines if sales is None else sales, multiple)
+    limits = F.broadcast(limits)  # a row for each product family: a stated domain, checked at intake
     return (lines.join(limits, "product_family", "left")
             .withColumn("is_outlier", F.coalesce(F.col("revenue_usd").cast("double") > F.col("outlier_above"),
                                                  F.lit(False)))
@@ -225,9 +226,9 @@ class ChannelTables:
         # a few writers per quarter, chosen by a hash of the line, so that neither a quarter nor a partner is one task
         per_quarter = max(1, int(channel.spark.conf.get("spark.sql.shuffle.partitions")) // len(t.settings.quarters))
         salt = F.pmod(F.xxhash64("partner_id", "order_date", "revenue_usd"), F.lit(per_quarter))
-        t.clean = stored_table(channel.spark, (where, "lines"), lambda: cls.of(channel).clean.repartition(F.col("quarter"), salt), ["quarter"])
-        t.partner_month = stored_table(channel.spark, (where, "partner_month"), lambda: partner_month(t.base, t.master, t.settings))
-        t.partner_quarter = stored_table(channel.spark, (where, "partner_quarter"), lambda: partner_quarter(t.base, t.partner_month, t.targets))
+        t.clean = stored_table(channel.spark, where, "lines", lambda: cls.of(channel).clean.repartition(F.col("quarter"), salt), ["quarter"])
+        t.partner_month = stored_table(channel.spark, where, "partner_month", lambda: partner_month(t.base, t.master, t.settings))
+        t.partner_quarter = stored_table(channel.spark, where, "partner_quarter", lambda: partner_quarter(t.base, t.partner_month, t.targets))
         return t
 
     @cached_property

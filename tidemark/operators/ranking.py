@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 SAMPLE_PER_BUCKET = 32
 
 
-def bucket_count(df: DataFrame, most: int = 256) -> int:
-    return max(2, min(most, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+def bucket_count(df: DataFrame) -> int:
+    """As many buckets as the session has shuffle partitions: whoever sizes those for the data sizes the buckets."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column], within: list[str] | None = None,
@@ -33,8 +34,8 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column],
     step = F.greatest(F.floor(F.size("s") / n), F.lit(1)).cast("int")
     edges = sample.select(F.filter("s", lambda _, i: (i % step) == (step - 1)).alias("_edges"))
     placed = (keyed.crossJoin(F.broadcast(edges))
-              .withColumn("_bucket", F.aggregate("_edges", F.lit(0),
-                                                 lambda acc, e: acc + F.when(e < F.col("_key"), 1).otherwise(0)))
+              .withColumn("_bucket", F.aggregate(F.array(*[F.lit(1 << b) for b in reversed(range((2 * n).bit_length()))]), F.lit(0),
+                                                 lambda at, step: at + F.when(F.get("_edges", at + step - 1) < F.col("_key"), step).otherwise(0)))
               .drop("_edges"))
 
     totals = placed.groupBy(*within, "_bucket").agg(*[F.sum(f"_v_{s}").alias(f"_b_{s}") for s in sums])
@@ -66,11 +67,12 @@ def _level(x: Column, scale: float = 1e4, steps: int = 1024) -> Column:
 
 
 def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float],
-                    weight: str | None = None) -> DataFrame:
+                    weight: str | None = None, few_groups: bool = False) -> DataFrame:
     """Linearly interpolated quantiles of `value` for each group, exact for groups of any size.
 
     First pass: a histogram on a monotone bucket, combined map-side. Second pass: only the rows in the buckets that
-    hold the wanted ranks. Nothing but those rows is shuffled. Missing values are ignored."""
+    hold the wanted ranks. With `few_groups`, for groups of a domain of known size, the wanted buckets (two a group and
+    quantile at most) are broadcast and nothing but the rows in them is shuffled. Missing values are ignored."""
     rows = df.where(F.col(value).isNotNull()).select(
         *by, F.col(value).cast("double").alias("_x"),
         (F.col(weight).cast("long") if weight else F.lit(1).cast("long")).alias("_w"))
@@ -87,6 +89,7 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, f
               .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_n"))))
     targets = wanted.select(*[F.col(c).alias(f"_t_{c}") for c in by], F.col("_lvl").alias("_t_lvl"),
                             "_before").distinct()
+    targets = F.broadcast(targets) if few_groups else targets
     cond = F.col("_lvl") == F.col("_t_lvl")
     for c in by:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_t_{c}"))

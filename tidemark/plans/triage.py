@@ -95,11 +95,15 @@ def _sparse(size, idx, w):
     return SparseVector(size, idx, w)
 
 
+#: A vocabulary of at most so many terms, as counted, is broadcast; a larger one is joined by shuffle.
+BROADCAST_TERMS = 500_000
+
+
 @dataclass
 class TermSpace:
-    """A fitted vocabulary: (kind, term, idx, idf). Its size is bounded by `most`."""
+    """A fitted vocabulary: (kind, term, idx, idf), of all terms or, by kind, of the `most` frequent."""
     kinds: tuple[str, ...] = ("word",)
-    most: dict = field(default_factory=lambda: {"word": terms.WORD_TERMS, "char": terms.CHAR_TERMS})
+    most: dict = field(default_factory=dict)
     min_df: dict = field(default_factory=lambda: {"word": 2, "char": 3})
     vocab: DataFrame | None = None
     size: int = 0
@@ -112,7 +116,7 @@ class TermSpace:
         parts = []
         n = docs.agg(F.count(F.lit(1)).alias("_n"))
         for kind in self.kinds:
-            v = terms.vocabulary(self._counts(docs, kind, text), self.min_df[kind], self.most[kind])
+            v = terms.vocabulary(self._counts(docs, kind, text), self.min_df[kind], self.most.get(kind))
             parts.append(v.crossJoin(F.broadcast(n)).select(F.lit(kind).alias("kind"), "term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf")))
         v = global_rank(reduce(DataFrame.unionByName, parts), [F.col("kind"), F.col("term")], "_rn")
         self.vocab = cut_lineage(v.select("kind", "term", "idf", (F.col("_rn") - 1).cast("int").alias("idx")))
@@ -132,7 +136,8 @@ class TermSpace:
         text = tx.ticket_text() if text is None else text
         parts = []
         for kind in self.kinds:
-            v = F.broadcast(self.vocab.where(F.col("kind") == kind).select("term", "idx", "idf"))
+            v = self.vocab.where(F.col("kind") == kind).select("term", "idx", "idf")
+            v = F.broadcast(v) if self.size <= BROADCAST_TERMS else v
             raw = self._counts(docs, kind, text).join(v, "term").select("ticket_id", F.lit(kind).alias("kind"), "term", "idx", ((1 + F.log("tf")) * F.col("idf")).alias("_w"))
             parts.append(raw)
         x = reduce(DataFrame.unionByName, parts)

@@ -1,6 +1,7 @@
 """Session helpers: a local session for tests and benches, and lineage cuts that survive executor loss."""
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -63,15 +64,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fingerprint(spark: SparkSession, folder: str) -> str:
+    """A digest of the names, sizes and times of all files below `folder`, by the file system that Spark reads it with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:32]
+
+
 _STORED: dict[tuple, str] = {}
 
 
-def stored_table(spark: SparkSession, key: tuple, build, partition_by: list[str] = ()) -> DataFrame:
-    """Build a table once per session, write it as parquet to the shared folder, and read it from there afterwards,
-    with column pruning, filter pushdown and partition pruning."""
-    key = (spark.sparkContext.applicationId, *key)
+def stored_table(spark: SparkSession, folder: str, name: str, build, partition_by: list[str] = ()) -> DataFrame:
+    """Build a table over `folder` once per session and state of its files, write it as parquet to the shared folder, and read it
+    from there afterwards, with column pruning, filter pushdown and partition pruning."""
+    key = (spark.sparkContext.applicationId, folder, fingerprint(spark, folder), name)
     if key not in _STORED:
-        path = f"{checkpoint_dir(spark)}/tables/{spark.sparkContext.applicationId}/{abs(hash(key)):x}"
+        path = f"{shared_dir(spark)}/tidemark/tables/{hashlib.sha256(repr(key).encode()).hexdigest()[:32]}"
         w = build().write.mode("overwrite")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
         _STORED[key] = path
@@ -79,9 +91,8 @@ def stored_table(spark: SparkSession, key: tuple, build, partition_by: list[str]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from there.
+    """Write `df` as parquet to the shared folder and go on from there.
 
     Used where a frame feeds several later passes (ranking, model fits), so that they neither recompute it
-    nor depend on executor-local blocks."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    nor depend on executor-local blocks, and read only the columns they need."""
+    return written(df, "stage")

@@ -14,8 +14,10 @@ from ..operators import intake
 TICKET_SCHEMA = "ticket_id string, channel string, subject string, body string, product string"
 
 
-def read_tickets(spark: SparkSession, path: str, files_per_batch: int = 100, fmt: str = "parquet", schema: str = TICKET_SCHEMA) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
+def read_tickets(spark: SparkSession, path: str, files_per_batch: int | None = 100, fmt: str = "parquet", schema: str = TICKET_SCHEMA) -> DataFrame:
+    """A stream of ticket files. Without `files_per_batch` a trigger takes all files that have come."""
+    rows = spark.readStream.schema(schema).format(fmt)
+    return (rows.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else rows).load(path)
 
 
 def decide_stream(scored: DataFrame) -> DataFrame:
