@@ -130,7 +130,7 @@ def test_jaccard(odd, nothing):
 
 @pytest.mark.parametrize("percent,block", [(50, 1024), (85, 1024), (95, 8), (60, 4), (85, 8)])
 def test_jaccard_equals_all_pairs(spark, percent, block, monkeypatch):
-    monkeypatch.setattr(trie.linked, "__defaults__", (block,))
+    monkeypatch.setattr(trie.linked, "__defaults__", (trie.as_tokens, block))
     import numpy as np
     rng = np.random.default_rng(percent)
     rows, base = [], []
@@ -158,7 +158,7 @@ def test_jaccard_equals_all_pairs(spark, percent, block, monkeypatch):
 
 
 def test_large_clusters_are_cut_into_blocks(spark, monkeypatch):
-    monkeypatch.setattr(trie.linked, "__defaults__", (64,))
+    monkeypatch.setattr(trie.linked, "__defaults__", (trie.as_tokens, 64))
     import numpy as np
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(200)]

@@ -124,12 +124,15 @@ def components_of(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> t
                 mine = np.flatnonzero(np.isin(digest, asked))
                 if len(mine):
                     hashes, begins = shingles([names[i] for i in mine], width)
-                    each = [np.unique(hashes[a:b]) for a, b in zip(begins, begins[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(digest[mine]), pa.array([len(x) for x in each], pa.int64()), pa.array([x.astype("<u8").tobytes() for x in each], pa.binary())],
-                                                     names=["node", "n", "tokens"])
+                    yield pa.RecordBatch.from_arrays([pa.array(digest[mine]), pa.array([len(np.unique(hashes[a:b])) for a, b in zip(begins, begins[1:])], pa.int64()),
+                                                      pa.array([names[i].encode() for i in mine], pa.binary())], names=["node", "n", "tokens"])
 
-    full = written(texts.mapInArrow(sets, "node long, n long, tokens binary").dropDuplicates(["node"]), "line-sets")
-    return seen, linked(candidates, full, percent)
+    def decode(line: bytes) -> np.ndarray:
+        return np.unique(shingles([line.decode()], width)[0])
+
+    # A line is asked of one text only, and its text travels, a tenth of its set; tasks that compare make the set of it.
+    full = written(texts.mapInArrow(sets, "node long, n long, tokens binary"), "line-sets")
+    return seen, linked(candidates, full, percent, decode)
 
 
 def dedup(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:

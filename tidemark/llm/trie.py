@@ -1,6 +1,8 @@
 """Set-similarity join in a prefix tree, and its distribution over clusters of candidates."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -103,11 +105,15 @@ class Trie:
         return found[wanted[found]]
 
 
-def block_links(rows: pa.Table, percent: int) -> pa.Table:
+def as_tokens(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, "<u8")
+
+
+def block_links(rows: pa.Table, percent: int, decode: Callable[[bytes], np.ndarray] = as_tokens) -> pa.Table:
     """Links inside a task's one block or between its two, as many as connect what is connected. Sets that a label or earlier links
     connect already are not compared."""
     ids, side, label = rows.column("node").to_numpy(), rows.column("side").to_numpy(), rows.column("label").to_numpy()
-    sets = [np.frombuffer(x, "<u8") for x in rows.column("tokens").to_pylist()]
+    sets = [decode(x) for x in rows.column("tokens").to_pylist()]
     _, label = np.unique(label, return_inverse=True)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     tree, probes = (left, right) if len(left) and len(right) else (np.arange(len(ids)),) * 2
@@ -120,11 +126,12 @@ def block_links(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
-def linked(candidates: DataFrame, sets: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+def linked(candidates: DataFrame, sets: DataFrame, percent: int, decode: Callable[[bytes], np.ndarray] = as_tokens, block: int = BLOCK) -> DataFrame:
     """node, label: components of all links of at least `percent` between sets that candidates connect.
 
     candidates: a, b; pairs that stand for groups: every two nodes that candidates connect, over however many steps, are
-    compared. sets: node, n, tokens (ascending 64-bit unsigned, little-endian) of at least those nodes. A cluster of any size is cut
+    compared. sets: node, n, tokens of at least those nodes; `decode` makes of tokens the set's ascending 64-bit numbers, by
+    default its own bytes. A cluster of any size is cut
     into blocks by size class and digest; a task compares one block or two; blocks of sizes too far apart are not compared.
 
     Clusters of several blocks take two more steps. First every block meets the first of its size class, and that the next class's: in
@@ -141,7 +148,7 @@ def linked(candidates: DataFrame, sets: DataFrame, percent: int, block: int = BL
 
     def compared(sent: DataFrame) -> DataFrame:
         full = sent.join(sets.select("node", "tokens"), "node").select("task", "side", "node", "label", "tokens")
-        return written(full.groupBy("task").applyInArrow(lambda t: block_links(t, percent), "a long, b long"), "set-links")
+        return written(full.groupBy("task").applyInArrow(lambda t: block_links(t, percent, decode), "a long, b long"), "set-links")
 
     def between(placed: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
         """Two blocks a task; pairs has the keys of one block with suffix 1 and of the other with 2."""
