@@ -7,8 +7,8 @@ threshold; the result is exact.
 The clusters come from a pigeonhole: two sets of a and b tokens with similarity t or more differ in at most k = (a + b)(1 - t) / (1 + t) tokens.
 If tokens are dealt into more than k parts by hash, one part at least is equal in both. Sets are therefore classed by size, so that similar
 ones fall into the same class or neighbours, each class fixes a number of parts for pairs of its sets with the next, and sets
-meet when the digest of a part agrees. Passages that many documents share do not make them meet: whole parts, a few tokens from all over
-a document, must agree.
+meet when the digest of a part agrees (of two parts for small sets). Passages that many documents share hardly make them meet: whole
+parts, some tokens from all over a document, must agree.
 
 Equal sets are one class throughout, named by a 64-bit digest; copies are never paired. Defined results: texts without words, null
 texts included, have the empty set and are linked with nothing; texts under n words have their whole sequence as the one n-gram; repeated
@@ -29,8 +29,10 @@ from .arrow import coded_words, gram_hashes, mixed, slices, word_hashes
 from .common import table, word_count
 from .trie import linked
 
-#: Parts beyond those that the pigeonhole needs. A set with at most so many empty parts shares one with tokens in it.
-SPARE = 3
+#: A part with fewer tokens says little: a passage of two documents alone can fill it.
+FULL = 3
+#: With at most so many parts, sets meet at two equal parts, not one.
+FEW = 14
 
 
 def token_sets(texts: pa.Array, n: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -66,16 +68,28 @@ def size_classes(most: int, percent: int) -> np.ndarray:
 
 
 def part_keys(tokens: np.ndarray, begins: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys under which sets meet, and the set of each: a digest of every part with tokens, for pairs with the class above and with the
-    class below; and one more key for sets with more than SPARE empty parts, which may share nothing but these."""
+    """Keys under which sets meet, and the set of each, for pairs with the class above and for pairs with the class below.
+
+    Large sets have so many parts to spare that two similar ones share an equal part of FULL tokens or more, as long as one of them
+    has no more smaller parts than are spare; sets with more give all their parts with tokens, and one key more if even
+    empty parts exceed what is spare. Small sets have two parts to spare and give all pairs of parts with tokens; those with more than
+    one empty part give all pairs."""
     counts = np.diff(begins)
     least = size_classes(int(counts.max()) if len(counts) else 1, percent)
     own = np.searchsorted(least, counts, "right") - 1
     larger = np.minimum(least[2:] - 1, (least[1:-1] - 1) * 100 // percent)
-    parts = (100 - percent) * (least[1:-1] - 1 + larger) // (100 + percent) + 1 + SPARE
+    differ = (100 - percent) * (least[1:-1] - 1 + larger) // (100 + percent)
+    few = differ + 3 <= FEW
+    spare = np.where(few, 2, 2 + differ // 5)
+    parts = differ + 1 + spare
     doc = np.repeat(np.arange(len(counts)), counts)
-    keys, owners = [], []
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     hashed, value = mixed(tokens ^ np.uint64(0x2545F4914F6CDD1D)), mixed(tokens + np.uint64(0x9E3779B97F4A7C15))
+
+    def give(key: np.ndarray, owner: np.ndarray) -> None:
+        keys.append(mixed(key))
+        owners.append(owner)
+
     for family in (own, own - 1):
         real = (family >= 0) & (counts > 0)
         number = np.where(real, parts[np.maximum(family, 0)], 0)
@@ -84,15 +98,27 @@ def part_keys(tokens: np.ndarray, begins: np.ndarray, percent: int) -> tuple[np.
         at = (ends - number)[doc[mine]] + (hashed[mine] % number[doc[mine]].astype(np.uint64)).astype(np.int64)
         total = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint64)
         np.add.at(total, at, value[mine])
-        full = np.bincount(at, minlength=len(total)) > 0
+        held = np.bincount(at, minlength=len(total))
         owner = np.repeat(np.arange(len(counts)), number)
         place = np.arange(len(total)) - (ends - number)[owner]
         salt = family[owner].astype(np.uint64) * np.uint64(1 << 32) + place.astype(np.uint64)
-        keys.append(mixed(total + mixed(salt))[full])
-        owners.append(owner[full])
-        bare = np.flatnonzero(number - np.bincount(owner[full], minlength=len(counts)) > SPARE)
-        keys.append(mixed(family[bare].astype(np.uint64) + np.uint64(0x8000000000000000)))
-        owners.append(bare)
+        part = mixed(total + mixed(salt))
+        empty = np.bincount(owner[held == 0], minlength=len(counts))
+        thin = np.bincount(owner[held < FULL], minlength=len(counts))
+        many = real & ~few[np.maximum(family, 0)]
+        allowed = spare[np.maximum(family, 0)]
+        chosen = many[owner] & ((held >= FULL) | ((held > 0) & (thin > allowed)[owner]))
+        give(part[chosen], owner[chosen])
+        bare = np.flatnonzero(many & (empty > allowed))
+        give(family[bare].astype(np.uint64) + np.uint64(1 << 63), bare)
+        for size in np.unique(number[real & ~many]):
+            group = np.flatnonzero(real & ~many & (number == size))
+            rows = (ends - number)[group][:, None] + np.arange(size)
+            filled = (held[rows] > 0) | (empty[group] > 1)[:, None]
+            for i in range(size):
+                for j in range(i):
+                    both = filled[:, i] & filled[:, j]
+                    give(part[rows[both, i]] * np.uint64(3) + part[rows[both, j]] * np.uint64(5), group[both])
     return np.concatenate(keys), np.concatenate(owners)
 
 
