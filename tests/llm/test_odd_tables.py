@@ -186,3 +186,12 @@ def test_stages(spark, odd, nothing, items, labels, tmp_path, stage):
 def test_pipeline_runs_and_repeats(spark, sf):
     one, two = (sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) for _ in range(2))
     assert one == two and len(one) > 100
+
+
+def test_equal_sets_in_a_trie():
+    import numpy as np
+    sets = [np.array(x, dtype=np.uint64) for x in ([1, 2, 3], [1, 2, 3], [1, 2, 3], [1, 2, 3, 4], [7], [7])]
+    tree = trie.Trie(sets)
+    assert sorted(tree.similar(sets[0], 75, np.ones(6, bool)).tolist()) == [0, 1, 2, 3]
+    assert sorted(tree.similar(sets[4], 80, np.ones(6, bool)).tolist()) == [4, 5]
+    assert sorted(trie.Trie(sets[:2]).similar(sets[0], 80, np.ones(2, bool)).tolist()) == [0, 1]

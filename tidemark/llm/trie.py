@@ -46,6 +46,9 @@ class Trie:
             if len(one) == end:
                 leaf[-1] = order[lo]
                 i += 1
+            while i < hi and len(sets[order[i]]) == end:  # an equal set: a leaf of its own without tokens
+                stack.append((i, i + 1, end, node))
+                i += 1
             while i < hi:
                 j, t = i + 1, sets[order[i]][end]
                 while j < hi and sets[order[j]][end] == t:
