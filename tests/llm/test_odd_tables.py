@@ -97,6 +97,20 @@ def test_substring(odd, nothing):
     assert substring.dedup(nothing).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_substring_of_repeated_rows(spark, parts):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, "a b " + passage + " c d"), *[(2, "x y z " + passage + " u v w q " + " ".join(f"t{i}" for i in range(90)))] * 2, (3, passage), *[(4, passage)] * 3]
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in got) == [(1, 64, 0), *[(2, 157, 60)] * 2, (3, 60, 60), *[(4, 60, 60)] * 3]
+
+
+def test_overlapping_pieces_are_one_path(spark):
+    pieces = [(9, 0, 0, 8, 1, 0, 5), (9, 0, 0, 4, 1, 0, 5), (9, 0, 0, 8, 1, 0, 5), (9, 0, 8, 3, 1, 0, 13), (9, 0, 20, 2, 1, 0, 25), (9, 0, 21, 1, 1, 0, 26), (9, 0, 4, 4, 2, 0, 0)]
+    got = substring.compacted(spark.createDataFrame(pieces, substring.PATH)).collect()
+    assert sorted((r.doc_id, r.start, r.n, r.src_doc, r.src_start) for r in got) == [(9, 0, 11, 1, 5), (9, 4, 4, 2, 0), (9, 20, 2, 1, 25)]
+
+
 def test_search(odd, nothing):
     rows = search.top_k(odd, F.col("doc_id") % 2 == 0, k=4, shard_chars=100).collect()
     best = {r.query_id: r.doc_id for r in rows if r["rank"] == 1}

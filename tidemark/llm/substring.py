@@ -143,15 +143,19 @@ def paths(docs: DataFrame, k: int = 13, buckets: int | None = None) -> DataFrame
     count = buckets or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     packed = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), tag().alias("tag"), "text").mapInArrow(
         lambda batches: pack(batches, k, count), PACKED)
-    pieces = written(packed.groupBy("bucket").applyInArrow(resolve, PATH), "path-pieces")
-    # A piece that begins where another of the same path ends goes on with it: the head of each is the last piece without one before it.
+    return compacted(written(packed.groupBy("bucket").applyInArrow(resolve, PATH), "path-pieces"))
+
+
+def compacted(pieces: DataFrame) -> DataFrame:
+    """Pieces joined into paths. Repeated rows, and rows resolved partly in their batch and partly in a bucket, give pieces of one
+    line (document, source and distance) twice or overlapping; a path is what they cover, not their sum."""
     line = ["doc_id", "tag", "src_doc", "src_tag", "line"]
-    pieces = pieces.withColumn("line", F.col("start") - F.col("src_start"))
-    before = pieces.select(*line, (F.col("start") + F.col("n")).alias("start"), F.lit(True).alias("goes_on")).distinct()
     w = Window.partitionBy(*line).orderBy("start")
-    linked = pieces.join(before, [*line, "start"], "left").withColumn("path", F.max(F.when(F.col("goes_on").isNull(), F.col("start"))).over(w))
-    return linked.groupBy(*line, "path").agg(F.min("start").alias("start"), F.sum("n").alias("n")).select(
-        "doc_id", "tag", "start", "n", "src_doc", "src_tag", (F.col("start") - F.col("line")).alias("src_start"))
+    ends = pieces.withColumns({"line": F.col("start") - F.col("src_start"), "end": F.col("start") + F.col("n")})
+    reached = ends.withColumn("reached", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    linked = reached.withColumn("path", F.max(F.when(F.col("reached").isNull() | (F.col("reached") < F.col("start")), F.col("start"))).over(w))
+    return linked.groupBy(*line, "path").agg(F.max("end").alias("end")).select(
+        "doc_id", "tag", F.col("path").alias("start"), (F.col("end") - F.col("path")).alias("n"), "src_doc", "src_tag", (F.col("path") - F.col("line")).alias("src_start"))
 
 
 def _words(text: str | None) -> list[str]:
