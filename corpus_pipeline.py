@@ -18,8 +18,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked at 85 % of 4-word shingles."""
-    return jaccard.keep_one(docs)
+    """One document of each group linked at 80 % of 5-word shingles."""
+    return jaccard.keep_one(docs, n=5, percent=80)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -197,6 +197,15 @@ def test_stages(spark, odd, nothing, items, labels, tmp_path, stage):
         assert out.count() <= 3 * docs.count()
 
 
+def test_the_stage_links_at_80_percent_of_five_words(spark, sf):
+    base = [f"w{i}" for i in range(100)]
+    other = [f"v{i}" for i in range(100)]
+    texts = [base, [{30: "x", 60: "y"}.get(i, w) for i, w in enumerate(base)], other, [*other, *(f"z{i}" for i in range(20))], [*other[:60], *(f"u{i}" for i in range(40))]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, sf).collect()) == [0, 2, 4]
+    assert jaccard.keep_one(docs).count() == 5
+
+
 def test_pipeline_runs_and_repeats(spark, sf):
     one, two = (sorted(map(tuple, corpus_pipeline.run(spark, sf).collect())) for _ in range(2))
     assert one == two and len(one) > 100
