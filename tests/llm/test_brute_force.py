@@ -168,6 +168,16 @@ def test_licence_rules():
     assert licences.ruled([("bsd.grant", 0, 1), ("bsd.binary", 1, 2), ("bsd.source", 2, 3)]) == ([], 3)
 
 
+WRAPPED = [("It is placed into the public\ndomain.", "Public-domain"), ("# It is in the public\n# domain.", "Public-domain"), ("All rights\nreserved.", "All-rights-reserved"), (" * All  rights\n * reserved.", "All-rights-reserved"),
+           ("# This is free and unencumbered software released into the public\n# domain.\n#\n# Anyone is\n# free to copy, modify, publish, use, compile, sell, or distribute this software.", "Public-domain,Unlicense"),
+           ("// Released under creative\n// commons zero.", "CC0-1.0"), ("Available under CC\n// BY-SA 4.0.", "CC-BY-SA-4.0"), ("Available under the CC - BY 4.0.", "CC-BY-4.0"), ("Available under the Creative\n-- Commons Attribution 4.0.", "CC-BY-4.0")]
+
+
+def test_wrapped_and_commented_licences(spark):
+    docs = spark.createDataFrame([(i, f"x = 1\n\n{t}\n\ny = 2") for i, (t, _) in enumerate(WRAPPED)], "doc_id long, text string")
+    assert {r.doc_id: r.licences for r in licences.scan(docs).collect()} == {i: n for i, (_, n) in enumerate(WRAPPED)}
+
+
 def test_licence_lines_of_the_table(spark, sf, docs):
     known = {"Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
              "Released under the MIT License.": "MIT", "All rights reserved.": "All-rights-reserved"}

@@ -82,8 +82,8 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("CC-BY-NC-4.0", ("ccbync4.name",)), ("CC-BY-SA-4.0", ("ccbysa4.name",)), ("CC-BY-4.0", ("ccby4.name",)), ("Public-domain", ("public.domain",)),
     ("All-rights-reserved", ("reserved",)),
 ]
-#: A word of each sentence above; texts without any are not looked at further.
-NEEDED = r"(?i:licen[sc]e|permission|redistribut|warrant|public domain|rights reserved|anyone is free|endorse|cc0|creative commons|cc.by)"
+#: A single word of each sentence above, since line breaks and comment marks may stand between two; texts without any are not looked at further.
+NEEDED = r"(?i:licen[sc]e|permission|redistribut|warrant|domain|reserved|anyone|endorse|cc0|creative|cc(?![a-z0-9]))"
 
 _SENTENCE = re.compile(r"(?:[^.!?;\n]|[.!?;](?=\S)|\n(?!\s*\n))+[.!?;]*")
 _PATTERNS = [(name, re.compile(p)) for name, p in SENTENCES.items()]
@@ -116,7 +116,7 @@ def identified(text: str) -> list[tuple[str, int, int]]:
     """(identifier, start, end) of every known licence sentence, by place; a sentence may hold several."""
     out = []
     for m in _SENTENCE.finditer(text):
-        if _NEEDED.search(m[0]) or " as is" in m[0].lower() or "\nas is" in m[0].lower():
+        if _NEEDED.search(m[0]):
             s = normalised(m[0])
             for _, name, p in sorted(((h.start(), name, p) for name, p in _PATTERNS if (h := p.search(s))), key=lambda x: x[:2]):
                 a, b = narrowed(m[0], p)
