@@ -1,7 +1,7 @@
 """Fuzzy line dedup by MinHash.
 
 Lines are compared by the sets of their character shingles. Distinct lines get `BANDS` bands of `ROWS` minima; at a similarity of 0.8 one band
-at least agrees in 99.8 % of cases. Lines that agree in a band form candidate clusters, every cluster is verified by exact Jaccard in
+at least agrees in 99.8 % of cases, for short lines too. Lines that agree in a band form candidate clusters, every cluster is verified by exact Jaccard in
 prefix trees, and a distributed union-find gives the components. Of each component the first line stays: smallest doc_id (null
 last), then row, then line number.
 
@@ -62,7 +62,7 @@ def shingles(lines: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def bands(lines: list[str], width: int) -> np.ndarray:
-    """(bands, lines) keys: digests of ROWS minima each. A minimum after XOR with a mask is one independent uniform choice."""
+    """(bands, lines) keys: digests of ROWS minima each. Every minimum has a multiply-add of its own, so that choices are independent."""
     hashes, begins = shingles(lines, width)
     low = (hashes >> np.uint64(32)).astype(np.uint32)
     out = np.empty((BANDS, len(lines)), np.uint64)
@@ -71,8 +71,8 @@ def bands(lines: list[str], width: int) -> np.ndarray:
         for b in range(BANDS):
             key = np.full(len(lines), b + 1, np.uint64)
             for r in range(ROWS):
-                m = mixed(np.array([np.uint64(b * ROWS + r + 1) * mask], np.uint64))[0] >> np.uint64(32)
-                key = mixed(key * np.uint64(31) + np.minimum.reduceat(low ^ np.uint32(m), begins[:-1]))
+                m = int(mixed(np.array([np.uint64(b * ROWS + r + 1) * mask], np.uint64))[0])
+                key = mixed(key * np.uint64(31) + np.minimum.reduceat(low * np.uint32(m >> 32 | 1) + np.uint32(m & 0xFFFFFFFF), begins[:-1]))
             out[b] = key
     return out
 
