@@ -166,6 +166,17 @@ def test_ownership_tells_examples_from_live_keys(spark):
     assert [got[i].n_live for i in range(1, 6)] == [1, 1, 0, 0, 0] and got[5].n_copied == 1
 
 
+def test_one_owner_with_many_repositories_or_rows_is_no_live_key(spark):
+    from pyspark.sql import functions as F
+    live, spread, often = "Zx81kQpL0mNbv7YtRwEs", "AbCdEfGh12345678IjKl", "Qw3rTy7UiOp9AsDfGh2J"
+    rows = [*[(i, f"see {live} and {live}", "a", f"r{i % 3}") for i in range(10)], *[(100 + i, f"see {spread}", "a", f"r{i}") for i in range(4)],
+            *[(200 + i, f"see {often}", "a", "r") for i in range(11)], (300, f"secret={spread}", "a", "r0"), *[(None, "see Hj5kLm8NbVc1XzQw4ErT", "a", "r")] * 11]
+    got = {}
+    for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string, o string, r string"), F.col("o"), F.col("r")).collect():
+        got.setdefault(r.doc_id if r.doc_id is None else r.doc_id // 100, set()).add((len(r.kept), r.n_copied, r.n_live))
+    assert got == {0: {(2, 0, 2)}, 1: {(0, 0, 0)}, 2: {(0, 0, 0)}, 3: {(1, 1, 0)}, None: {(0, 0, 0)}}
+
+
 def test_licence_rules():
     mit = ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated files.\n\nThe above copyright notice and this permission notice shall be "
            "included in all\ncopies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED.")

@@ -1,13 +1,13 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Patterns find candidate credentials; how widely a value is spread then says what it is. A value that several owners
-publish is a copied example; one that only few repositories of a single owner hold, and that looks random, is likely live.
-Values are counted by digest over the whole corpus, first by (value, owner, repository), then by owner, so a value in a
-third of all rows is summed before it is moved.
+publish, or that one owner has in many repositories or rows, is a copied example; one that only few repositories and rows of a single
+owner hold, and that looks random, is likely live. Values are counted by digest over the whole corpus, first by (value, owner,
+repository), then by owner, so a value in a third of all rows is summed before it is moved.
 
 Kinds: assign, access and hex are the base patterns, always reported. The method adds kind `owned`: any further run of 20
-or more credential characters with upper case, lower case and digits, outside the base spans, whose value belongs to a
-single owner. Spans are kind:start:end in code points, end exclusive, ordered by start and then kind.
+or more credential characters with upper case, lower case and digits, outside the base spans, whose value belongs to few
+repositories and rows of a single owner. Spans are kind:start:end in code points, end exclusive, ordered by start and then kind.
 
 Defined results: null and empty texts have no spans; a null owner or repository counts as one of its own; repeated rows each
 get their spans; an empty table gives an empty result."""
@@ -25,6 +25,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 OWNED = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
+#: A value in more repositories of one owner, or in more rows, is an example even if nobody else has it.
+FEW_REPOSITORIES, FEW_ROWS = 3, 10
 MAY_ASSIGN = r"(?i:passw|secret|token|api_?key)"
 
 
@@ -71,16 +73,17 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """digest, owners, repositories, from (digest, owner, repository): distinct counts by stepwise sums."""
-    each = candidates.groupBy("digest", "owner", "repository").agg(F.count("*").alias("n"))
+    """digest, owners, repositories, uses, from (digest, owner, repository, times) of every row that holds the value: distinct counts by stepwise sums."""
+    each = candidates.groupBy("digest", "owner", "repository").agg(F.sum("times").alias("n"))
     owners = each.groupBy("digest", "owner").agg(F.count("*").alias("r"), F.sum("n").alias("n"))
     return owners.groupBy("digest").agg(F.count("*").alias("owners"), F.sum("r").alias("repositories"), F.sum("n").alias("uses"))
 
 
-def scan(docs: DataFrame, owner: Column, repository: Column, copied_from: int = 2) -> DataFrame:
+def scan(docs: DataFrame, owner: Column, repository: Column, copied_from: int = 2, repositories: int = FEW_REPOSITORIES, uses: int = FEW_ROWS) -> DataFrame:
     """Per row of `docs` (doc_id, text): its spans with the verdict on every value.
 
-    owner, repository: whose the row is. A value of `copied_from` owners or more is a copied example. Returns doc_id, base (spans),
+    owner, repository: whose the row is. A value of `copied_from` owners or more, of more than so many `repositories` or in more rows than `uses` is
+    a copied example. Returns doc_id, base (spans),
     kept (base and owned spans), n_copied and n_live: of the kept spans, those copied and those owned and random-looking."""
     rows = docs.select("doc_id", "text", F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
                        F.coalesce(repository.cast("string"), F.lit("")).alias("repository"))
@@ -90,15 +93,17 @@ def scan(docs: DataFrame, owner: Column, repository: Column, copied_from: int =
     some = seen.where((F.size("base") > 0) | (F.size("more") > 0)).groupBy(*row).agg(
         F.first("base").alias("base"), F.first("more").alias("more"), F.count("*").alias("times"))
     one = some.select(*row, "times", F.explode(F.concat("base", "more")).alias("span")).withColumn("digest", F.sha2(value(F.col("span")), 256))
-    known = written(ownership(one.select("digest", "owner", "repository")), "secret-owners")
+    held = some.select("owner", "repository", "times", F.explode(F.array_distinct(F.transform(F.concat("base", "more"), lambda s: F.sha2(value(s), 256)))).alias("digest"))
+    known = written(ownership(held), "secret-owners")
     judged = one.join(known, "digest")
+    copied = (F.col("owners") >= copied_from) | (F.col("repositories") > repositories) | (F.col("uses") > uses)
     text = value(F.col("span"))
-    live = (F.col("owners") < copied_from) & (F.length(text) >= 16) & (F.size(F.array_distinct(F.split(text, ""))) >= 10)
+    live = ~copied & (F.length(text) >= 16) & (F.size(F.array_distinct(F.split(text, ""))) >= 10)
     keep = (F.col("span.kind") < 3) | live
     whole = judged.groupBy(*row, "times").agg(
         F.array_sort(F.collect_list(F.when(F.col("span.kind") < 3, F.col("span")))).alias("base"),
         F.array_sort(F.collect_list(F.when(keep, F.col("span")))).alias("kept"),
-        F.sum(F.when(keep & (F.col("owners") >= copied_from), 1).otherwise(0)).alias("n_copied"), F.sum(F.when(live, 1).otherwise(0)).alias("n_live"))
+        F.sum(F.when(keep & copied, 1).otherwise(0)).alias("n_copied"), F.sum(F.when(live, 1).otherwise(0)).alias("n_live"))
     whole = whole.select("doc_id", "base", "kept", F.col("n_copied").cast("long"), F.col("n_live").cast("long"),
                          F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("_")).drop("_")
     rest = plain.select("doc_id", "base", F.col("base").alias("kept"), F.lit(0).cast("long").alias("n_copied"), F.lit(0).cast("long").alias("n_live"))
@@ -106,7 +111,8 @@ def scan(docs: DataFrame, owner: Column, repository: Column, copied_from: int =
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Spans of every document; the owner is its source, the repository its source and language."""
+    """Spans of every document; the owner is its source, the repository its source and language, the finest that the table has; the
+    number of rows tells what stays inside one of these."""
     docs = table(spark, sf_dir, "documents")
     out = scan(docs, F.col("source"), F.concat_ws("/", "source", "lang"))
 
