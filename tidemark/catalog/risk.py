@@ -15,8 +15,8 @@ from .registry import query
 from .snapshots import history, panel, score_snapshot
 
 NUM = ft.numeric_features(SETTINGS)
-CUTS = SETTINGS.eval_cutoffs[-4:]
-ITER = dict(gbt_iter=6, lr_iter=15)
+FEATURES = NUM + ft.CATEGORICAL
+CUTS = SETTINGS.eval_cutoffs
 _RESULTS: dict = {}
 
 
@@ -24,7 +24,7 @@ def result(spark, sf) -> risk.RiskResult:
     """Trained once per session and directory, shared by the queries that only report on it."""
     key = (spark.sparkContext.applicationId, sf, fingerprint(spark, sf))
     if key not in _RESULTS:
-        _RESULTS[key] = risk.compute(panel(spark, sf), score_snapshot(spark, sf), tables(spark, sf).master, SETTINGS, cutoffs=CUTS, **ITER)
+        _RESULTS[key] = risk.compute(panel(spark, sf), score_snapshot(spark, sf), tables(spark, sf).master, SETTINGS)
     return _RESULTS[key]
 
 
@@ -50,7 +50,7 @@ def risk_submission_checks(spark, sf):
 
 @query("risk_variants", "ML-13 ML-15")
 def risk_variants(spark, sf):
-    return risk.compare_variants(panel(spark, sf), SETTINGS, CUTS[-1:], ["LR", "GBT", "GBT, decliners weighted 3x"], **ITER)[0]
+    return risk.compare_variants(panel(spark, sf), SETTINGS, CUTS)[0]
 
 
 @query("risk_variant_bootstrap", "DE-20")
@@ -64,7 +64,7 @@ def risk_variant_bootstrap(spark, sf):
 def permutation_importance(spark, sf):
     r = result(spark, sf)
     test = panel(spark, sf).where(F.col("cutoff") == CUTS[-1])
-    return risk.permutation_importance(r.model, test, ["lines_per_month_6m", "days_since_last_order", "rev_q1_log"], repeats=2)
+    return risk.permutation_importance(r.model, test, FEATURES)
 
 
 @query("label_rates", "AG-07", cte("lagged", "raw0") + " UNION ALL ".join(
