@@ -1,7 +1,7 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 from __future__ import annotations
 
-from . import decontaminate, encode, jaccard, licences, lines, mixing, search, secrets, substring, toxicity
+from . import align, decontaminate, encode, jaccard, licences, lines, mixing, search, secrets, simhash, substring, taat, toxicity
 
 QUERIES = {
     "op1_mix_sources": mixing.query,
@@ -14,6 +14,9 @@ QUERIES = {
     "op8_bm25_top_k": search.query,
     "op9_secrets": secrets.query,
     "op10_jaccard_join": jaccard.query,
+    "op11_simhash_near": simhash.query,
+    "op12_taat_search": taat.query,
+    "op13_token_alignment": align.query,
 }
 
 ORACLES = {
@@ -22,4 +25,5 @@ ORACLES = {
     "op7_substring_dedup": substring.SQL,
     "op8_bm25_top_k": search.SQL,
     "op10_jaccard_join": jaccard.SQL,
+    "op12_taat_search": taat.SQL,
 }
