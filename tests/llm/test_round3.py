@@ -220,10 +220,17 @@ def plain_alignment(rows):
             linked.append([])
             continue
         ends_a, ends_b = np.cumsum([len(x) for x in bytes_a]).tolist(), np.cumsum([len(x) for x in bytes_b]).tolist()
-        cuts = sorted(set(ends_a) & set(ends_b))
-        groups = ";".join(",".join(str(i) for i, e in zip(ids_a, ends_a) if x < e <= y) + "|" + ",".join(str(i) for i, e in zip(ids_b, ends_b) if x < e <= y)
-                          for x, y in zip([0, *cuts], cuts))
-        pairs = [(ids_a[ends_a.index(y)], ids_b[ends_b.index(y)]) for y in cuts]
+        cuts, groups, pairs, i, j = sorted(set(ends_a) & set(ends_b)), [], [], 0, 0
+        for y in cuts:
+            x, z = i, j
+            while ends_a[i] < y:
+                i += 1
+            while ends_b[j] < y:
+                j += 1
+            pairs.append((ids_a[i], ids_b[j]))
+            i, j = i + 1, j + 1
+            groups.append(",".join(map(str, ids_a[x:i])) + "|" + ",".join(map(str, ids_b[z:j])))
+        groups = ";".join(groups)
         count.update(pairs)
         said.append((len(ids_a), len(ids_b), len(cuts), groups))
         linked.append(pairs)
