@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from .common import table
 from .skew import looked_up
 
 #: Stretches remembered per Python worker.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: Bits of an id and of a count in a packed pair; larger counts take several entries.
 ID_BITS, COUNT_BITS = 20, 23
 #: Pairs that more than one in so many (text, pair) rows hold are broadcast.
@@ -38,6 +39,8 @@ SHARE = 100_000
 ALIGNED = "text_key binary, copies long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, packed array<long>"
 
 _SPLIT = re.compile(r"(?<=\S)(?= +[^ ])").split
+#: Whether some blank follows white space or nothing, or ends the text.
+_UNEVEN = re.compile(r"^ |\s | $").search
 _loaded: dict = {}
 
 
@@ -73,50 +76,78 @@ class Pair:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.rows: list[tuple[int, int, int, int]] = []  # tokens of A and of B, groups, 1 if the bytes are not given back
         self.said: list[str] = []
-        self.pairs: list[np.ndarray] = []
+        self.counts = array("q")  # tokens of A and of B, groups, 1 if the bytes are not given back
+        self.pairs = array("q")  # linked pairs of all stretches in a row, A's id above B's
 
-    def _aligned(self, text: str, a: list[int], b: list[int]) -> tuple[tuple[int, int, int, int], str, np.ndarray]:
-        """Counts, groups as text and linked pairs (A's id above B's) of a text that begins with its blank."""
-        raw, bytes_a, bytes_b = text.encode(), [self.bytes_a[x] for x in a], [self.bytes_b[x] for x in b]
+    def _aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple[int, int, int, int, str, list[int]]:
+        """Counts, groups as text and linked pairs of a text's bytes, its blank first."""
+        bytes_a, bytes_b = [self.bytes_a[x] for x in a], [self.bytes_b[x] for x in b]
         if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
-            return (0, 0, 0, 1), "", np.zeros(0, np.int64)
-        ends_a, ends_b = np.cumsum([len(x) for x in bytes_a]), np.cumsum([len(x) for x in bytes_b])
-        same, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        groups, i, j = [], 0, 0
-        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            groups.append(",".join(map(str, a[i:x])) + "|" + ",".join(map(str, b[j:y])))
-            i, j = x, y
-        return (len(a), len(b), len(same), 0), ";".join(groups), (np.array(a, np.int64)[at_a] << ID_BITS) | np.array(b, np.int64)[at_b]
+            return 0, 0, 0, 1, "", []
+        groups, pairs, end_a, end_b, j, from_a, from_b = [], [], 0, 0, 0, 0, 0
+        for i, x in enumerate(bytes_a):
+            end_a += len(x)
+            while end_b < end_a:
+                end_b += len(bytes_b[j])
+                j += 1
+            if end_b == end_a:
+                pairs.append(a[i] << ID_BITS | b[j - 1])
+                groups.append(f"{a[i]}|{b[j - 1]}" if i == from_a and j == from_b + 1 else f"{','.join(map(str, a[from_a:i + 1]))}|{','.join(map(str, b[from_b:j]))}")
+                from_a, from_b = i + 1, j
+        return len(a), len(b), len(groups), 0, ";".join(groups), pairs
+
+    def _ids(self, raw: list[bytes], texts: list[str]) -> list[list[int]]:
+        """A's ids of every text, from one encoding of stretches in a row where that gives them back apart."""
+        if self.parted and not any(t[-1].isspace() for t in texts):
+            ids = self.a.encode("".join(texts), add_special_tokens=False).ids
+            ends = np.cumsum([len(self.bytes_a[i]) for i in ids])
+            wanted = np.cumsum([len(r) for r in raw])
+            cut = np.searchsorted(ends, wanted) + 1
+            if cut[-1] == len(ids) and (ends[cut - 1] == wanted).all():
+                return [ids[x:y] for x, y in zip([0, *cut.tolist()], cut.tolist())]
+        return [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
 
     def _encoded(self, texts: list[str]) -> list[tuple]:
-        a = self.a.encode_batch(texts, add_special_tokens=False)
-        b = self.b.encode([t[1:] for t in texts], num_threads=1)
-        return [self._aligned(t, x.ids, y) for t, x, y in zip(texts, a, b)]
+        """Texts without their blank."""
+        whole = [" " + t for t in texts]
+        raw = [t.encode() for t in whole]
+        return [self._aligned(*x) for x in zip(raw, self._ids(raw, whole), self.b.encode(texts, num_threads=1))]
+
+    def _stretches(self, text: str) -> list[str]:
+        """Stretches without their first blank."""
+        if not self.parted:
+            return [text]
+        return [u[1:] for u in _SPLIT(" " + text)] if _UNEVEN(text) else text.split(" ")
 
     def align(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray]]:
         """Tokens of A and B, groups, digest and linked pairs of every text."""
-        texts = [" " + t for t in texts]
-        cut = [_SPLIT(t) if self.parted else [t] for t in texts]
         if len(self.number) > REMEMBERED:
             self.forget()
+        cut = [self._stretches(t) for t in texts]
         new = list({u for units in cut for u in units if u not in self.number})
-        for i in range(0, len(new), 20_000):
-            for u, (row, said, pairs) in zip(new[i:i + 20_000], self._encoded(new[i:i + 20_000])):
-                self.number[u] = len(self.rows)
-                self.rows.append(row)
+        # Stretches that end in white space are apart from those that stand in a row.
+        new.sort(key=lambda u: u[-1:].isspace())
+        for i in range(0, len(new), 512):
+            for u, (*counts, said, pairs) in zip(new[i:i + 512], self._encoded(new[i:i + 512])):
+                self.number[u] = len(self.said)
                 self.said.append(said)
-                self.pairs.append(pairs)
-        rows, number = np.array(self.rows, np.int64).reshape(-1, 4), self.number.__getitem__
+                self.counts.extend(counts)
+                self.pairs.extend(pairs)
+        counts, pairs = np.array(self.counts, np.int64).reshape(-1, 4), np.array(self.pairs, np.int64)
+        first = np.cumsum(counts[:, 2]) - counts[:, 2]
+        number, said = self.number.__getitem__, self.said.__getitem__
         for text, units in zip(texts, cut):
-            at = list(map(number, units))
-            n_a, n_b, groups, bad = rows[at].sum(axis=0).tolist()
+            names = list(map(number, units))
+            at = np.array(names)
+            n_a, n_b, groups, bad = counts[at].sum(axis=0).tolist()
             if bad and len(units) > 1:
-                (n_a, n_b, groups, bad), said, pairs = self._encoded([text])[0]
+                n_a, n_b, groups, bad, joined, linked = self._encoded([text])[0]
+                linked = np.array(linked, np.int64)
             else:
-                said, pairs = ";".join([self.said[i] for i in at]), np.concatenate([self.pairs[i] for i in at])
-            yield (0, 0, 0, "", pairs[:0]) if bad else (n_a, n_b, groups, hashlib.sha256(said.encode()).hexdigest(), pairs)
+                joined, sizes = ";".join(map(said, names)), counts[at, 2]
+                linked = pairs[np.arange(groups) + np.repeat(first[at] - (np.cumsum(sizes) - sizes), sizes)]
+            yield (0, 0, 0, "", linked[:0]) if bad else (n_a, n_b, groups, hashlib.sha256(joined.encode()).hexdigest(), linked)
 
 
 def packed(pairs: np.ndarray) -> np.ndarray:
