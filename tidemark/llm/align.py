@@ -19,6 +19,7 @@ import json
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +66,7 @@ class Pair:
         self.bytes_a = [bytes(values[c] for c in t) if (t := self.a.id_to_token(i)) is not None and all(c in values for c in t) else (t or "").encode() for i in range(size)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.size_a, self.size_b = [len(x) for x in self.bytes_a], [len(x) for x in self.bytes_b]
         if max(len(self.bytes_a), len(self.bytes_b)) > 1 << ID_BITS:
             raise ValueError(f"ids of over {ID_BITS} bits")
         said = json.loads(self.a.to_str())
@@ -80,23 +82,25 @@ class Pair:
         self.counts = array("q")  # tokens of A and of B, groups, 1 if the bytes are not given back
         self.pairs = array("q")  # linked pairs of all stretches in a row, A's id above B's
 
-    def _aligned(self, raw: bytes, a: list[int], b: list[int]) -> tuple[int, int, int, int, str, list[int]]:
-        """Counts, groups as text and linked pairs of a text's bytes, its blank first."""
-        bytes_a, bytes_b = [self.bytes_a[x] for x in a], [self.bytes_b[x] for x in b]
-        if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
-            return 0, 0, 0, 1, "", []
+    def _aligned(self, a: list[int], b: list[int]) -> tuple[int, int, int, int, str, list[int]]:
+        """Counts, groups as text and linked pairs of a text whose bytes both give back."""
+        size_a, size_b = self.size_a, self.size_b
         groups, pairs, end_a, end_b, j, from_a, from_b = [], [], 0, 0, 0, 0, 0
-        for i, x in enumerate(bytes_a):
-            end_a += len(x)
+        for i, x in enumerate(a):
+            end_a += size_a[x]
             while end_b < end_a:
-                end_b += len(bytes_b[j])
+                y = b[j]
+                end_b += size_b[y]
                 j += 1
             if end_b == end_a:
-                pairs.append(a[i] << ID_BITS | b[j - 1])
-                groups.append(f"{a[i]}|{b[j - 1]}" if i == from_a and j == from_b + 1 else f"{','.join(map(str, a[from_a:i + 1]))}|{','.join(map(str, b[from_b:j]))}")
+                pairs.append(x << ID_BITS | y)
+                groups.append(f"{x}|{y}" if i == from_a and j == from_b + 1 else f"{','.join(map(str, a[from_a:i + 1]))}|{','.join(map(str, b[from_b:j]))}")
                 from_a, from_b = i + 1, j
         return len(a), len(b), len(groups), 0, ";".join(groups), pairs
 
+    def _gives(self, raw: bytes, ids: list[int], tokens: list[bytes]) -> bool:
+        return b"".join([tokens[x] for x in ids]) == raw
+
     def _ids(self, raw: list[bytes], texts: list[str]) -> list[list[int]]:
         """A's ids of every text, from one encoding of stretches in a row where that gives them back apart."""
         if self.parted and not any(t[-1].isspace() for t in texts):
@@ -112,7 +116,13 @@ class Pair:
         """Texts without their blank."""
         whole = [" " + t for t in texts]
         raw = [t.encode() for t in whole]
-        return [self._aligned(*x) for x in zip(raw, self._ids(raw, whole), self.b.encode(texts, num_threads=1))]
+        a, b = self._ids(raw, whole), self.b.encode(texts, num_threads=1)
+        joined, size_a, size_b = b"".join(raw), self.size_a, self.size_b
+        # All texts at once: the same bytes in all, and the same number in each.
+        if (self._gives(joined, list(chain.from_iterable(a)), self.bytes_a) and self._gives(joined, list(chain.from_iterable(b)), self.bytes_b)
+                and all(len(r) == sum([size_a[i] for i in x]) == sum([size_b[i] for i in y]) for r, x, y in zip(raw, a, b))):
+            return [self._aligned(x, y) for x, y in zip(a, b)]
+        return [self._aligned(x, y) if self._gives(r, x, self.bytes_a) and self._gives(r, y, self.bytes_b) else (0, 0, 0, 1, "", []) for r, x, y in zip(raw, a, b)]
 
     def _stretches(self, text: str) -> list[str]:
         """Stretches without their first blank."""
