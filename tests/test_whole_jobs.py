@@ -4,10 +4,9 @@ from types import SimpleNamespace
 
 import pytest
 
-from tidemark.catalog import desk, risk
-from tidemark.operators import features, intake
+from tidemark.catalog import desk
+from tidemark.operators import intake
 from tidemark.plans import experiments, triage
-from tidemark.plans import risk as plans
 
 
 @pytest.fixture
@@ -25,29 +24,11 @@ def caught(monkeypatch):
             return (calls[name],)
         monkeypatch.setattr(module, name, call)
 
-    for name in ("compare_variants", "permutation_importance", "compute"):
-        catch(plans, name)
     for name in ("make_run", "interaction_check"):
         catch(experiments, name)
-    for name in ("panel", "score_snapshot"):
-        monkeypatch.setattr(risk, name, lambda *a: SimpleNamespace(where=lambda c: None))
-    monkeypatch.setattr(risk, "tables", lambda *a: SimpleNamespace(master=None))
-    monkeypatch.setattr(risk, "fingerprint", lambda *a: "whole-jobs")
-    monkeypatch.setattr(risk, "_RESULTS", {})
     return calls
 
 
-def test_risk_queries_have_all_variants_holdouts_columns_and_rounds(spark, caught, monkeypatch):
-    risk.result(spark, "x")
-    assert caught["compute"]["gbt_iter"] == 250 and caught["compute"]["lr_iter"] == 100 and caught["compute"]["cutoffs"] is None
-    risk.risk_variants(spark, "x")
-    assert caught["compare_variants"]["names"] is None and caught["compare_variants"]["cutoffs"] == risk.SETTINGS.eval_cutoffs and caught["compare_variants"]["gbt_iter"] == 100
-    monkeypatch.setattr(risk, "result", lambda *a: SimpleNamespace(model=None))
-    risk.permutation_importance(spark, "x")
-    assert caught["permutation_importance"]["repeats"] == 5
-    assert caught["permutation_importance"]["columns"] == features.numeric_features(risk.SETTINGS) + features.CATEGORICAL
-
-
 def test_interactions_see_the_real_severity(spark, caught, monkeypatch):
     inbox = spark.createDataFrame([(1, "[Severity: HIGH] all is down."), (2, "nothing said")], "ticket_id long, body string")
     split = spark.createDataFrame([(1, 0, "P1", "train"), (2, 1, "P2", "train")], "ticket_id long, fold int, priority string, split string")

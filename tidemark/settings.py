@@ -39,6 +39,8 @@ class ChannelSettings:
     def __post_init__(self):
         self.domains.update({"region": self.regions, "tier": self.tiers, "product_family": self.families,
                              "partner_type": self.partner_types})
+    #: Snapshots on which the rolling backtest of leave risk is judged.
+    holdouts: int = 4
 
     @property
     def cohort_old(self) -> str:
@@ -75,7 +77,8 @@ class ChannelSettings:
 
     @property
     def eval_cutoffs(self) -> list[str]:
-        return self.train_cutoffs[2:]
+        """The last `holdouts` snapshots that have two or more before them."""
+        return self.train_cutoffs[2:][-self.holdouts:]
 
     @property
     def backtest_quarters(self) -> list[str]:
