@@ -19,12 +19,14 @@ REGISTRY: dict[str, Entry] = {}
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Decimals and doubles to rounded doubles, small integers to long: the same types on both engines."""
+    """Decimals and doubles to rounded doubles, small integers to long: the same types on both engines. Doubles are scaled, rounded and
+    scaled back, as the twins' engine does; rounding their decimal digits can fall on the other side of a half."""
+    unit = 10.0 ** digits
     cols = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.DecimalType, T.FloatType)):
-            c = F.round(c.cast("double"), digits)
+            c = F.round(c.cast("double") * unit) / unit
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("long")
         cols.append(c.alias(f.name))
