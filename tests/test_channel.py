@@ -10,6 +10,7 @@ from tidemark.operators import facts, features as ft
 from tidemark.plans import dashboard as db
 from tidemark.plans import insights as ins
 from tidemark.plans import revenue as rv
+from tidemark.plans.selection import Selection
 from tidemark.sources import tables_io
 from tidemark.sources.fixtures import SETTINGS, Channel
 
@@ -50,16 +51,21 @@ def test_label_order(t):
 
 
 def test_region_parts_sum_to_total(t):
-    tr = db.trend(t, db.Filters()).toPandas()
+    tr = db.trend(t, Selection()).toPandas()
     assert np.allclose(tr[list(SETTINGS.regions)].astype(float).sum(axis=1), tr["total"].astype(float))
-    assert db.trend(t, db.Filters(region=("NOWHERE",))).count() == 0
+    assert db.trend(t, Selection(region=("NOWHERE",))).count() == 0
     with pytest.raises(ValueError):
-        db.breakdown(t, db.Filters(), "colour")
+        db.breakdown(t, Selection(), "colour")
 
 
-def test_filters_parse():
-    f = db.Filters.parse(region=" ASIA, EUROPE,", tier="", q_to="2000-Q4")
-    assert f.region == ("ASIA", "EUROPE") and f.tier == () and f.no_range().q_to is None
+def test_selection_of_a_request(t):
+    s = Selection.of({"region": " ASIA, EUROPE,", "tier": "", "to": "2000-Q4"})
+    assert s.values("region") == ("ASIA", "EUROPE") and not s.narrows("tier") and (s.first, s.last) == (None, "2000-Q4")
+    got = s.rows(t.base_typed, dated=True).agg(F.collect_set("region"), F.max("quarter")).first()
+    assert set(got[0]) <= {"ASIA", "EUROPE"} and got[1] <= "2000-Q4"
+    assert Selection(product_family=("NOWHERE",)).rows(t.master).count() == t.master.count()
+    with pytest.raises(ValueError):
+        Selection(colour=("red",))
 
 
 def test_grid_drops_orders_before_onboarding(t):

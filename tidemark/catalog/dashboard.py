@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..fixed_values import SIGNAL_LABELS
 from ..plans import dashboard as db
 from ..plans import scoring
+from ..plans.selection import Selection
 from ..settings import HEALTH_EDGES
 from .channel_core import stored as tables
 from .prelude import cte, define
@@ -50,7 +52,7 @@ def dashboard_meta(spark, sf):
 
 @query("effective_last_quarter", "FLT-07", cte("base") + "SELECT least(max(quarter), '2000-Q4') AS quarter FROM base")
 def effective_last_quarter(spark, sf):
-    return db.last_quarter(tables(spark, sf), db.Filters(q_to="2000-Q4"))
+    return db.last_quarter(tables(spark, sf), Selection(last="2000-Q4"))
 
 
 def _kpi_sql(where, lq, ly, rng, att=True, prod=False):
@@ -76,13 +78,13 @@ KPI_DBL = "revenue revenue_last_year yoy margin_pct revenue_in_range attainment"
 @query("kpis_region_filter", "DB-02 FLT-01 JN-16", _kpi_sql("region IN ('ASIA', 'EUROPE')", "2001-Q1", "2000-Q1", "quarter BETWEEN '2000-Q2' AND '2001-Q1'"),
        dbl=KPI_DBL, big="flagged")
 def kpis_region_filter(spark, sf):
-    return db.kpis(tables(spark, sf), db.Filters.parse(region="ASIA, EUROPE", q_from="2000-Q2", q_to="2001-Q1"), scores(spark, sf))
+    return db.kpis(tables(spark, sf), Selection.of({"region": "ASIA, EUROPE", "from": "2000-Q2", "to": "2001-Q1"}), scores(spark, sf))
 
 
 @query("kpis_product_filter", "DB-02 JN-06", _kpi_sql("product_family IN ('PROMO')", "2001-Q2", "2000-Q2", "true", att=False, prod=True),
        dbl=KPI_DBL, big="flagged")
 def kpis_product_filter(spark, sf):
-    return db.kpis(tables(spark, sf), db.Filters(product_family=("PROMO",)), scores(spark, sf))
+    return db.kpis(tables(spark, sf), Selection(product_family=("PROMO",)), scores(spark, sf))
 
 
 def _trend_sql(period, by, keys):
@@ -98,13 +100,13 @@ _fix = ", ".join(f'round(CAST("{c}" AS DOUBLE), 6) AS "{c}"' for c in [*REGIONS,
 
 @query("trend_quarter_region", "DB-03 AG-06", f"SELECT * REPLACE ({_fix}) FROM ({_sql})")
 def trend_quarter_region(spark, sf):
-    return db.trend(tables(spark, sf), db.Filters())
+    return db.trend(tables(spark, sf), Selection())
 
 
 @query("trend_month_tier", "DB-03", _trend_sql("strftime(month, '%Y-%m')", "tier", ["Platinum", "Gold", "Silver", "Business"]),
        dbl="Platinum Gold Silver Business total margin_pct")
 def trend_month_tier(spark, sf):
-    return db.trend(tables(spark, sf), db.Filters(), "month", "tier")
+    return db.trend(tables(spark, sf), Selection(), "month", "tier")
 
 
 def _breakdown_sql(dim, att):
@@ -128,7 +130,7 @@ for _dim in db.DIMS:
         @query(f"breakdown_{dim}", "DB-04 WN-14" + (" FLT-01" if dim == "region" else ""), _breakdown_sql(dim, dim != "product_family"),
                dbl=BD + (" attainment pct_partner_quarters_hit" if dim != "product_family" else ""))
         def breakdown(spark, sf):
-            return db.breakdown(tables(spark, sf), db.Filters(q_from="2000-Q1"), dim).withColumn("dim", F.lit(dim))
+            return db.breakdown(tables(spark, sf), Selection(first="2000-Q1"), dim).withColumn("dim", F.lit(dim))
     _make(_dim)
 
 define("prows", "scores base", """
@@ -140,14 +142,14 @@ PR = SCORE_DBL + " revenue_range margin_pct"
 
 @query("partner_rows_all", "DB-05 JN-05", cte("prows") + "SELECT * EXCLUDE (yoy_decline_streak, rev_drawdown) FROM prows", dbl=PR)
 def partner_rows_all(spark, sf):
-    return db.partner_rows(tables(spark, sf), scores(spark, sf), db.Filters(q_from="2000-Q3"))
+    return db.partner_rows(tables(spark, sf), scores(spark, sf), Selection(first="2000-Q3"))
 
 
 @query("partner_list_page", "DB-05 SO-01 FLT-04", cte("prows") + """
 SELECT * EXCLUDE (yoy_decline_streak, rev_drawdown), count(*) OVER () AS total FROM prows WHERE contains(lower(partner_name), '0001') OR contains(CAST(partner_id AS VARCHAR), '0001')
 ORDER BY revenue_range DESC NULLS LAST, partner_id LIMIT 25 OFFSET 25""", dbl=PR)
 def partner_list_page(spark, sf):
-    return db.partners(tables(spark, sf), scores(spark, sf), db.Filters(q_from="2000-Q3"), search=" 0001 ", page=2)
+    return db.partners(tables(spark, sf), scores(spark, sf), Selection(first="2000-Q3"), search=" 0001 ", page=2)
 
 
 @query("partner_list_segment", "DB-05 JN-06 SO-01", cte("prows") + """
@@ -156,12 +158,12 @@ WHERE segment = 'Stable' AND partner_id IN (SELECT partner_id FROM base WHERE qu
 ORDER BY yoy_h1_pct ASC NULLS LAST, partner_id LIMIT 500""", dbl=PR)
 def partner_list_segment(spark, sf):
     t = tables(spark, sf)
-    every = db.Filters(q_from="2000-Q3", product_family=tuple(t.settings.families))
+    every = Selection(first="2000-Q3", product_family=tuple(t.settings.families))
     return db.partners(t, scores(spark, sf), every, segment="Stable", sort="yoy_h1_pct", desc=False, page_size=500)
 
 
 @query("partner_signals", "DB-06 WN-06", cte("now") + """, long AS (""" + " UNION ALL ".join(
-    f"SELECT partner_id, tier, '{k}' AS key, '{v}' AS label, CAST({k} AS DOUBLE) AS value FROM now" for k, v in db.SIGNALS.items())
+    f"SELECT partner_id, tier, '{k}' AS key, '{v}' AS label, CAST({k} AS DOUBLE) AS value FROM now" for k, v in SIGNAL_LABELS.items())
     + ") SELECT *, median(value) OVER (PARTITION BY tier, key) AS tier_median FROM long", dbl="value tier_median")
 def partner_signals(spark, sf):
     return db.partner_signals(score_snapshot(spark, sf))

@@ -105,3 +105,12 @@ EDIT_TEXT = {
     "tone_only": "This is unacceptable.", "urgency_claim": "Marking this urgent.",
 }
 EDIT_ABSENT = {"workaround": "workaround|limping", "tone_only": "unacceptable", "urgency_claim": "urgent"}
+
+# ---- labels of a partner's signals, as shown
+SIGNAL_LABELS = {
+    "lines_per_month_6m": "Order lines per month (6 m)", "active_month_share_6m": "Months with orders (6 m)",
+    "days_since_last_order": "Days since last order", "typical_gap_days": "Typical days between orders",
+    "att_avg_4q": "Target attainment (4 q)", "n_products_2q": "Product families (2 q)",
+    "margin_pct_4q": "Margin % (4 q)", "rev_cv_6m": "Revenue volatility (CV, 6 m)",
+    "tenure_months": "Months since onboarding",
+}
