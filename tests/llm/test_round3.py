@@ -288,3 +288,20 @@ def test_alignment_on_odd_tables(spark, odd, nothing):
     assert sorted((tuple(r[c] for c in COLUMNS) for r in got.collect()), key=key) == sorted(plain_alignment(rows), key=key)
     assert pairs.where("best").selectExpr("id_b").distinct().count() == pairs.select("id_b").distinct().count()
     assert aligned(spark, nothing)[0].count() == 0
+
+
+@pytest.mark.parametrize("batch", [10, 10_000])
+def test_bm25_over_slices_without_queries_or_words(spark, batch, monkeypatch):
+    """A partition of several batches or slices, some without a query row, some blank."""
+    from pyspark.sql import functions as F
+    from tidemark.llm import search
+    rows = [(i, "" if i < 12 else f"word{i % 5} common term{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        few = search.top_k(docs, F.col("doc_id") == 25).collect()
+        none = search.top_k(docs, F.col("doc_id") == 3).count()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert few and none == 0
