@@ -97,3 +97,14 @@ def test_probability_checks_find_a_bad_row(spark, sf):
     first = d.tickets.agg(F.min("ticket_id")).first()[0]
     bad = d.proba.withColumn("p", F.when((F.col("ticket_id") == first) & (F.col("class") == "P1"), 5.0).otherwise(F.col("p")))
     assert {r["rule"]: r["n"] for r in check_probabilities(bad, d.tickets, CLASSES).collect()}["row does not sum to 1"] == 1
+
+
+def test_default_ids_hang_on_the_content_alone(spark, monkeypatch):
+    monkeypatch.setattr(intake, "COPIES", 7)
+    rows = [("email", f"s{i % 9}", None if i % 5 == 0 else f"b{i % 13}", "p") for i in range(200)] + [("chat", "same", "same", None)] * 60
+    df = spark.createDataFrame(rows, "channel string, subject string, body string, product string")
+    a, b = (sorted(tuple(r) for r in intake.numbered(x).fillna("-").collect()) for x in (df.repartition(3), df.repartition(5, "body")))
+    assert a == b and len(a) == 260
+    assert sorted(r[-1] for r in a) == [f"T-{i:06d}" for i in range(1, 261)]
+    assert intake.prepare(df.drop("ticket_id"), ["p"]).select("ticket_id").distinct().count() == 260
+    assert intake.numbered(df.limit(0)).count() == 0

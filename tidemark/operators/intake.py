@@ -7,7 +7,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import fixed_values as fv
 from ..functions import text as tx
-from .ranking import exact_quantiles, global_rank
+from .ranking import exact_quantiles, global_rank, running_totals
+
+#: Equal rows that one task numbers.
+COPIES = 10_000
 
 
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
@@ -49,6 +52,19 @@ def check_batch(df: DataFrame, examples: int = 10) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """Adds a ticket_id to every row: rows in the order of their content's digest, equal rows with consecutive numbers. The ids hang on nothing but the
+    content, so partitioning and repeated tasks give the same. Equal rows are one row with a count until the end."""
+    content = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    equal = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_d", F.sha2(content, 256))
+    upto = running_totals(equal, [F.col("_d")], {"_upto": F.col("_n")}, [])
+    # a row with very many copies goes to several tasks
+    part = upto.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / COPIES)))).repartition("_d", "_part")
+    first = F.col("_upto") - F.col("_n") + 1 + F.col("_part") * COPIES
+    each = part.withColumn("_i", F.explode(F.sequence(first, F.least("_upto", first + (COPIES - 1)))))
+    return each.select(*df.columns, F.format_string("T-%06d", F.col("_i")).alias("ticket_id"))
+
+
 def prepare(df: DataFrame, known_products: list[str]) -> DataFrame:
     """Missing text to '', channel folded, known products respelled as listed, ids as text."""
     gone = missing_columns(df, fv.REQUIRED_COLUMNS)
@@ -58,8 +74,7 @@ def prepare(df: DataFrame, known_products: list[str]) -> DataFrame:
     prod = F.coalesce("product", F.lit(""))
     out = df
     if "ticket_id" not in df.columns:
-        out = global_rank(out, [F.xxhash64(*df.columns), F.monotonically_increasing_id()], "_i").withColumn(
-            "ticket_id", F.format_string("T-%06d", F.col("_i"))).drop("_i", "_i_total")
+        out = numbered(out)
     return out.withColumns({
         "ticket_id": F.col("ticket_id").cast("string"),
         "subject": F.coalesce("subject", F.lit("")), "body": F.coalesce("body", F.lit("")),
