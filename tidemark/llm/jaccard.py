@@ -10,6 +10,10 @@ ones fall into the same class or neighbours, each class fixes a number of parts
 meet when the digest of a part agrees (of two parts for small sets). Passages that many documents share hardly make them meet: whole
 parts, some tokens from all over a document, must agree.
 
+Sets that met are then narrowed by parity signatures (signature.py), a few hundred bytes in place of the whole set: two sets differ in at least as
+many tokens as their signatures differ in bits, so a pair whose signatures are too far apart cannot be similar, and what is left
+makes clusters hardly larger than the components. No similar pair is lost.
+
 Equal sets are one class throughout, named by a 64-bit digest; copies are never paired. Defined results: texts without words, null
 texts included, have the empty set and are linked with nothing; texts under n words have their whole sequence as the one n-gram; repeated
 rows and ids are linked like any others; the smallest id ignores null ids, and a component without any id has null; an empty table gives an
@@ -27,6 +31,7 @@ from tidemark.session import written
 
 from .arrow import coded_words, gram_hashes, mixed, slices, word_hashes
 from .common import table, word_count
+from .signature import narrowed, signatures
 from .trie import linked
 
 #: A part with fewer tokens says little: a passage of two documents alone can fill it.
@@ -147,8 +152,8 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, lower: bool = True) ->
             for part in slices(batch, 2):
                 tokens, begins = token_sets(part.column(2), n, lower)
                 counts = np.diff(begins)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests(tokens, begins), mask=counts == 0), pa.array(counts)],
-                                                 names=["doc_id", "row_key", "node", "n_shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(digests(tokens, begins), mask=counts == 0), pa.array(counts), pa.array(signatures(tokens, begins), pa.binary())],
+                                                 names=["doc_id", "row_key", "node", "n_shingles", "signature"])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Keys and sets, packed into a row for each bucket of keys; equal sets once."""
@@ -170,8 +175,9 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, lower: bool = True) ->
                     [pa.array(names, pa.int32()), pa.array([key[a:b].astype("<u8").tobytes() for a, b in zip(cut, cut[1:])], pa.binary()),
                      pa.array([owner[a:b].astype("<i8").tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["bucket", "token", "node"])
 
-    members = written(rows.mapInArrow(sized, "doc_id long, row_key long, node long, n_shingles long"), "set-members")
-    candidates = written(rows.select("text").mapInArrow(keyed, "bucket int, token binary, node binary").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct(), "candidates")
+    members = written(rows.mapInArrow(sized, "doc_id long, row_key long, node long, n_shingles long, signature binary"), "set-members")
+    met = written(rows.select("text").mapInArrow(keyed, "bucket int, token binary, node binary").groupBy("bucket").applyInArrow(meet, "a long, b long").distinct(), "sets-met")
+    candidates = narrowed(met, members.select("node", F.col("n_shingles").alias("n"), "signature"), percent)
 
     wanted = candidates.select(F.col("a").alias("node")).union(candidates.select("b")).distinct()
     chosen = members.join(wanted, "node").groupBy("node").agg(F.min("row_key").alias("row_key")).select("row_key").distinct()
@@ -187,7 +193,7 @@ def join(docs: DataFrame, n: int = 4, percent: int = 85, lower: bool = True) ->
 
     full = written(texts.mapInArrow(sets, "node long, n long, tokens binary"), "sets")
     label = linked(candidates, full, percent)
-    placed = members.join(label, "node", "left").withColumn("class", F.coalesce("label", "node"))
+    placed = members.drop("signature").join(label, "node", "left").withColumn("class", F.coalesce("label", "node"))
     least = placed.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("component_id"))
     return placed.join(least, "class", "left").select(
         "doc_id", "row_key", F.col("class").alias("component"), "n_shingles", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
