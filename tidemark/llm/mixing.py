@@ -2,7 +2,8 @@
 
 Every source is one stream: its documents in the order of a digest of id and text, cut into blocks of equally many
 words. A golden-ratio sequence visits the unit interval; the source whose share of the total a point falls into gets the
-slot, and the k-th slot of a source takes the k-th block of its stream, wrapping around up to `cap` times. Because
+slot, and the k-th slot of a source takes the k-th block of its stream, wrapping around up to `cap` times; words
+of a block without a slot are not taken. Because
 the points fill the interval evenly, every stretch of the mix holds the sources in their proportions.
 
 Defined results: null and blank texts have size 0 and no words are taken from them; null is a source of its own, last in
@@ -26,7 +27,7 @@ BITS = 40
 @dataclass
 class Mix:
     """sources: source, source_size, weight, target, take. schedule: slot, source key, rank (the block it takes).
-    documents: doc_id, source, size, source_size, target, taken, repeats."""
+    documents: doc_id, source, size, source_size, target, taken, first_slot (null if none takes from it), repeats."""
     sources: DataFrame
     schedule: DataFrame
     documents: DataFrame
@@ -148,9 +149,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
         "doc_id", "source", "_s", "size", "_key", "_copy", "source_size", "target", F.explode_outer(F.flatten(F.array(*rounds))).alias("_p"))
     pieces = pieces.withColumns({"start": F.col("_p.start"), "rank": F.col("_p.rank")}).drop("_p")
     lower, upper = F.greatest(F.col("start"), F.col("rank") * block), F.least(F.col("start") + size, (F.col("rank") + 1) * block, take)
-    met = pieces.join(plan.drop("slot"), ["_s", "rank"], "left")
+    # A piece without a slot is not in the mix; the rows of untaken documents stay for their zeros.
+    met = pieces.join(plan, ["_s", "rank"], "left").withColumn("_words", F.when(F.col("slot").isNotNull(), upper - lower))
     taken = met.groupBy("doc_id", "source", "_s", "size", "_key", "_copy", "source_size", "target").agg(
-        F.coalesce(F.sum(upper - lower), F.lit(0)).cast("long").alias("taken"))
+        F.coalesce(F.sum("_words"), F.lit(0)).cast("long").alias("taken"), F.min(F.when(F.col("_words") > 0, F.col("slot"))).alias("first_slot"))
     return Mix(sources, plan, taken.withColumn("repeats", F.when(size > 0, F.floor(F.col("taken") / size + 0.5)).otherwise(0).cast("long")))
 
 
