@@ -3,7 +3,8 @@
 Items are partitioned by their number of five-word shingles into classes (u/2, u]. For each class that occurs, documents
 are cut into windows of 2u shingles, u apart, so an item of the class that occurs in a document lies whole in a window of
 comparable size and its containment turns into a Jaccard similarity with a floor of about 0.19 at containment 0.8,
-whatever the document's length. Items and windows get `hashes` minima each, every minimum a band of its own: at 32 the
+whatever the document's length. Minima are taken once over stretches of the smallest class; those of neighbours make the windows of all
+classes. Items and windows get `hashes` minima each, every minimum a band of its own: at 32 the
 chance to miss is 0.1 % at the floor and below 0.01 % for a whole copy. Candidates are verified exactly: distinct shingles
 of the item that the whole document holds, as strings, over the item's distinct shingles.
 
@@ -19,6 +20,8 @@ from tidemark.session import written
 from .common import lower_ascii, small, table, word_list
 
 WIDTH = 5
+#: Classes from here on share their minima over stretches; windows of smaller ones take theirs from the shingles.
+STRETCH = 16
 
 
 def masks(hashes: int) -> list[int]:
@@ -38,6 +41,31 @@ def shingles(df: DataFrame, keep: list[Column], text: Column, as_text: bool) ->
     return rows.withColumn("shingle", F.concat_ws(" ", *at) if as_text else F.xxhash64(*at)).drop("_w")
 
 
+def window_minima(at: DataFrame, classes: list[int], sign: list[Column], hashes: int) -> DataFrame:
+    """row_key, u, w and m0, m1, ... of every window: the shingles at places from w u to below (w + 2) u. at: row_key, place, h.
+
+    A class u is a power of two, so its windows consist of whole stretches of any smaller class."""
+    def windows(place: Column, sizes: list[int]) -> list[Column]:
+        return [F.struct(F.lit(u).alias("u"), (F.floor(place / u) - back).cast("int").alias("w")) for u in sizes for back in (0, 1)]
+
+    small_classes, large = [u for u in classes if u < STRETCH], [u for u in classes if u >= STRETCH]
+    kinds = windows(F.col("place"), small_classes)
+    if large:
+        kinds.append(F.struct(F.lit(-large[0]).alias("u"), F.floor(F.col("place") / large[0]).cast("int").alias("w")))
+    if len(kinds) == 1:
+        spread = at.select("row_key", "h", kinds[0].alias("_x"))
+    else:
+        spread = at.select("row_key", "h", F.explode(F.array(*kinds) if kinds else F.array().cast("array<struct<u:int,w:int>>")).alias("_x"))
+    first = spread.groupBy("row_key", F.col("_x.u").alias("u"), F.col("_x.w").alias("w")).agg(*sign)
+    if not large:
+        return first
+    own = F.array(F.struct("u", "w"))
+    names = [f"m{i}" for i in range(hashes)]
+    stretch = F.when(F.col("u") < 0, F.array(*windows(F.col("w") * large[0], large))).otherwise(own)
+    return (first.select("row_key", *names, F.explode(stretch).alias("_x")).groupBy("row_key", F.col("_x.u").alias("u"), F.col("_x.w").alias("w"))
+            .agg(*[F.min(m).alias(m) for m in names]))
+
+
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, hashes: int = 32) -> DataFrame:
     """Pairs (row_key, doc_id, item_id) with n_shared, n_shingles and containment of at least `threshold`.
 
@@ -59,9 +87,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, hashes:
     # Each row stays in one task from here to its windows' minima: the text is moved once, the minima never.
     moved = docs.select("doc_id", "text").withColumn("row_key", row_key()).repartition("row_key")
     at = shingles(moved, [F.col("row_key")], F.col("text"), False).withColumnRenamed("shingle", "h")
-    windows = [F.struct(F.lit(u).alias("u"), (F.floor(F.col("place") / u) - back).cast("int").alias("w")) for u in classes for back in (0, 1)]
-    spread = at.select("row_key", "h", F.explode(F.array(*windows) if windows else F.array().cast("array<struct<u:int,w:int>>")).alias("_x"))
-    minima = spread.groupBy("row_key", F.col("_x.u").alias("u"), F.col("_x.w").alias("w")).agg(*sign)
+    minima = window_minima(at, classes, sign, hashes)
     bands = minima.select("row_key", "u", each).select("row_key", "u", F.col("_b.i").alias("i"), F.col("_b.m").alias("m"))
     band = small(item_bands)
     cand = bands.join(band, (F.col("i") == F.col("_i")) & (F.col("m") == F.col("_m")) & (F.col("u") == F.col("_iu"))).select("row_key", "_item").distinct()
