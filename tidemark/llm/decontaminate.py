@@ -9,7 +9,7 @@ chance to miss is 0.1 % at the floor and below 0.01 % for a whole copy. Candidat
 of the item that the whole document holds, as strings, over the item's distinct shingles.
 
 Text is lower-cased (A-Z) and words are runs of non-white-space. Defined results: null or blank texts and texts under five
-words have no shingle and match nothing, as items and as documents; repeated items each match; rows that agree in id and
+words have no shingle and match nothing, as items and as documents (short_contained finds such items); repeated items each match; rows that agree in id and
 text are one document; empty tables give an empty result."""
 from __future__ import annotations
 
@@ -33,11 +33,11 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
-def shingles(df: DataFrame, keep: list[Column], text: Column, as_text: bool) -> DataFrame:
+def shingles(df: DataFrame, keep: list[Column], text: Column, as_text: bool, width: int = WIDTH) -> DataFrame:
     """A row for each place: `keep`, place, and the shingle there as hash or text."""
-    rows = df.select(*keep, word_list(lower_ascii(text)).alias("_w")).where(F.size("_w") >= WIDTH)
-    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("_w") - WIDTH)).alias("place"))
-    at = [F.get("_w", F.col("place") + i) for i in range(WIDTH)]
+    rows = df.select(*keep, word_list(lower_ascii(text)).alias("_w")).where(F.size("_w") >= width)
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.size("_w") - width)).alias("place"))
+    at = [F.get("_w", F.col("place") + i) for i in range(width)]
     return rows.withColumn("shingle", F.concat_ws(" ", *at) if as_text else F.xxhash64(*at)).drop("_w")
 
 
@@ -102,6 +102,26 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, hashes:
             .select("row_key", "doc_id", "item_id", "n_shared", F.col("n_shingles"), "containment"))
 
 
+def short_contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Pairs (row_key, doc_id, item_id) for items of one to four words: the documents that hold all of an item's words in a row.
+
+    The item is its own only shingle. It is looked up by hash at every place of a document and then compared as text; for widths that
+    no item has, no document is read. Beside contained(), which leaves these items out: whether so short a passage is a leak is the
+    caller's choice. Rows that agree in id and text are one document; null and blank texts match nothing."""
+    words = items.select("item_id", word_list(lower_ascii(F.col("text"))).alias("_w")).where((F.size("_w") > 0) & (F.size("_w") < WIDTH))
+    words = written(words.select("item_id", F.size("_w").alias("width"), F.array_join("_w", " ").alias("item_shingle")).distinct(), "items-short")
+    keyed = docs.select("doc_id", "text", row_key().alias("row_key"))
+    found = keyed.where(F.lit(False)).select("row_key", "doc_id", F.lit(None).cast(words.schema["item_id"].dataType).alias("item_id"))
+    for width in sorted(r[0] for r in words.select("width").distinct().collect()):  # at most four numbers
+        each = [F.get(F.split("item_shingle", " "), F.lit(i)) for i in range(width)]
+        asked = small(written(words.where(F.col("width") == width).select("item_id", "item_shingle", F.xxhash64(*each).alias("_h")), "items-asked"))
+        places = shingles(keyed, [F.col("row_key"), F.col("doc_id")], F.col("text"), True, width)
+        places = places.withColumn("_p", F.xxhash64(*[F.get(F.split("shingle", " "), F.lit(i)) for i in range(width)]))
+        hit = places.join(asked, (F.col("_p") == F.col("_h")) & (F.col("shingle") == F.col("item_shingle")))
+        found = found.unionByName(hit.select("row_key", "doc_id", "item_id"))
+    return found.distinct()
+
+
 def clean(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """`docs` without the documents that contain an item; all columns as they were."""
     bad = written(contained(docs, items, threshold).select(F.col("row_key").alias("__row_key")).distinct(), "contaminated")
