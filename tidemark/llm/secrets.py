@@ -27,6 +27,8 @@ OWNED = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "owned")
 #: A value in more repositories of one owner, or in more rows, is an example even if nobody else has it.
 FEW_REPOSITORIES, FEW_ROWS = 3, 10
+#: Matches of a text that are appended to one another at once.
+RUN = 128
 MAY_ASSIGN = r"(?i:passw|secret|token|api_?key)"
 
 
@@ -35,7 +37,6 @@ def found(text: Column, pattern: str, kind: int) -> Column:
     matches, and lengths add up to places."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>")
 
     def add(acc: Column, pair: Column) -> Column:
         start = acc["at"] + F.length(pair["gap"])
@@ -43,12 +44,27 @@ def found(text: Column, pattern: str, kind: int) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(F.struct(
             start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), pair["hit"].alias("hit")))).alias("spans"))
 
+    def add_run(acc: Column, run: Column) -> Column:
+        ends = F.aggregate(run, acc["at"], lambda at, pair: at + F.length(pair["gap"]) + F.length(pair["hit"]))
+        spans = F.aggregate(run, F.struct(acc["at"].alias("at"), none().alias("spans")), add, lambda a: a["spans"])
+        return F.struct(ends.alias("at"), F.concat(acc["runs"], F.array(spans)).alias("runs"))
+
+    def placed(all_pairs: Column) -> Column:
+        # Appending copies what is there, so matches are appended in runs, and runs to each other.
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_pairs) - 1) / RUN).cast("int")), lambda i: F.slice(all_pairs, i * RUN + 1, F.lit(RUN)))
+        return F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{none_type()}>").alias("runs")), add_run, lambda acc: F.flatten(acc["runs"]))
+
     pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda acc: acc["spans"])
+    # As the variable of a lambda the pairs are made once for a text, not once for a run.
+    return F.when(F.size(hits) > 0, F.get(F.transform(F.array(pairs), placed), F.lit(0))).otherwise(none())
+
+
+def none_type() -> str:
+    return "array<struct<start:int,kind:int,end:int,hit:string>>"
 
 
 def none() -> Column:
-    return F.array().cast("array<struct<start:int,kind:int,end:int,hit:string>>")
+    return F.array().cast(none_type())
 
 
 def joined(spans: Column) -> Column:
