@@ -292,8 +292,7 @@ define("cv", "cc", "SELECT term, count(*) AS df, sum(tf) AS total FROM cc GROUP
 
 @query("char_terms", "TX-02", cte("cv") + "SELECT term, df, total FROM cv", big="total")
 def char_terms(spark, sf):
-    c = terms.char_counts(Desk(spark, sf).inbox, "ticket_id", tx.ticket_text())
-    return terms.vocabulary(c, 3).select("term", "df", "total")
+    return terms.char_vocabulary(Desk(spark, sf).inbox, "ticket_id", tx.ticket_text(), 3).select("term", "df", "total")
 
 
 @query("chi_square_terms", "TX-03", cte("ww", "tickets") + """,

@@ -116,7 +116,8 @@ class TermSpace:
         parts = []
         n = docs.agg(F.count(F.lit(1)).alias("_n"))
         for kind in self.kinds:
-            v = terms.vocabulary(self._counts(docs, kind, text), self.min_df[kind], self.most.get(kind))
+            limits = self.min_df[kind], self.most.get(kind)
+            v = terms.vocabulary(self._counts(docs, kind, text), *limits) if kind == "word" else terms.char_vocabulary(docs, "ticket_id", text, *limits)
             parts.append(v.crossJoin(F.broadcast(n)).select(F.lit(kind).alias("kind"), "term", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf")))
         v = global_rank(reduce(DataFrame.unionByName, parts), [F.col("kind"), F.col("term")], "_rn")
         self.vocab = cut_lineage(v.select("kind", "term", "idf", (F.col("_rn") - 1).cast("int").alias("idx")))
