@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import calendar as cal
 from ..functions.numeric import ratio, ratio_pos
@@ -221,14 +221,8 @@ class ChannelTables:
     def stored(cls, channel) -> "ChannelTables":
         """The same tables with the cleaned lines and the partner-quarter facts written once per session, as a nightly
         job would: lines by quarter, so that a quarter filter reads only its files."""
-        t = cls.of(channel)
-        where = str(channel.dir)
-        # a few writers per quarter, chosen by a hash of the line, so that neither a quarter nor a partner is one task
-        per_quarter = max(1, int(channel.spark.conf.get("spark.sql.shuffle.partitions")) // len(t.settings.quarters))
-        salt = F.pmod(F.xxhash64("partner_id", "order_date", "revenue_usd"), F.lit(per_quarter))
-        t.clean = stored_table(channel.spark, where, "lines", lambda: cls.of(channel).clean.repartition(F.col("quarter"), salt), ["quarter"])
-        t.partner_month = stored_table(channel.spark, where, "partner_month", lambda: partner_month(t.base, t.master, t.settings))
-        t.partner_quarter = stored_table(channel.spark, where, "partner_quarter", lambda: partner_quarter(t.base, t.partner_month, t.targets))
+        t = StoredTables(channel.sales, channel.master, channel.targets, channel.settings, channel.line_values)
+        t.spark, t.where = channel.spark, str(channel.dir)
         return t
 
     @cached_property
@@ -268,3 +262,26 @@ class ChannelTables:
         return {"sales": self.lines, "master": self.master, "targets": clean_targets(self.targets),
                 "partner_month": self.partner_month, "partner_quarter": self.partner_quarter,
                 "partner_summary": self.partner_summary, **{n: rollup_table(allr, n) for n in ROLLUP_SETS}}
+
+
+class StoredTables(ChannelTables):
+    """Each table is written when a query first asks for it; one that needs the lines alone builds no grid."""
+
+    spark: SparkSession
+    where: str
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        # a few writers per quarter, chosen by a hash of the line, so that neither a quarter nor a partner is one task
+        per_quarter = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // len(self.settings.quarters))
+        salt = F.pmod(F.xxhash64("partner_id", "order_date", "revenue_usd"), F.lit(per_quarter))
+        return stored_table(self.spark, self.where, "lines",
+                            lambda: clean_lines(self.sales, self._values).repartition(F.col("quarter"), salt), ["quarter"])
+
+    @cached_property
+    def partner_month(self) -> DataFrame:
+        return stored_table(self.spark, self.where, "partner_month", lambda: partner_month(self.base, self.master, self.settings))
+
+    @cached_property
+    def partner_quarter(self) -> DataFrame:
+        return stored_table(self.spark, self.where, "partner_quarter", lambda: partner_quarter(self.base, self.partner_month, self.targets))
