@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions.numeric import ratio
 from ..operators import facts, quality
+from ..session import is_stored
 from ..sources.fixtures import SETTINGS, Channel, Desk
 from .prelude import cte
 from .registry import query
@@ -23,6 +24,12 @@ def stored(spark, sf):
     return facts.ChannelTables.stored(Channel(spark, sf))
 
 
+def stored_or_plain(spark, sf):
+    """For queries that read the lines once: the prepared ones where the session has them, else the given files, since writing
+    and moving all lines costs more than one such query."""
+    return stored(spark, sf) if is_stored(spark, sf, "lines") else tables(spark, sf)
+
+
 @query("sales_lines_clean", "SRC-01 PRJ-02", cte("lines") + """
 SELECT order_date, partner_id, product_family, quantity, revenue_usd, margin_pct, month, quarter,
        year(order_date) AS year, margin_usd, CAST(revenue_usd AS DOUBLE) / quantity AS unit_price, is_outlier

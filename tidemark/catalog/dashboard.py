@@ -9,7 +9,7 @@ from ..plans import dashboard as db
 from ..plans import scoring
 from ..plans.selection import Selection
 from ..settings import HEALTH_EDGES
-from .channel_core import stored as tables
+from .channel_core import stored as tables, stored_or_plain
 from .prelude import cte, define
 from .registry import query
 from .snapshots import score_snapshot
@@ -173,7 +173,7 @@ def partner_signals(spark, sf):
 SELECT partner_id, product_family AS product, revenue, CAST(revenue AS DOUBLE) / CAST(sum(revenue) OVER (PARTITION BY partner_id) AS DOUBLE) AS share
 FROM (SELECT partner_id, product_family, sum(revenue_usd) AS revenue FROM base WHERE quarter >= '2000-Q3' GROUP BY 1, 2)""", dbl="revenue share")
 def partner_product_mix(spark, sf):
-    return db.product_mix(tables(spark, sf))
+    return db.product_mix(stored_or_plain(spark, sf))
 
 
 @query("partner_detail", "DB-06", cte("master", "scores", "pq") + """

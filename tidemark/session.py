@@ -78,6 +78,11 @@ def fingerprint(spark: SparkSession, folder: str) -> str:
 _STORED: dict[tuple, str] = {}
 
 
+def is_stored(spark: SparkSession, folder: str, name: str) -> bool:
+    """Whether `stored_table` has written this table over the present files in this session."""
+    return (spark.sparkContext.applicationId, folder, fingerprint(spark, folder), name) in _STORED
+
+
 def stored_table(spark: SparkSession, folder: str, name: str, build, partition_by: list[str] = ()) -> DataFrame:
     """Build a table over `folder` once per session and state of its files, write it as parquet to the shared folder, and read it
     from there afterwards, with column pruning, filter pushdown and partition pruning."""
