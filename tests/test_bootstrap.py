@@ -21,7 +21,8 @@ def test_replicates_equal_rows_copied_for_each(spark, monkeypatch):
         return (won * p.w.to_numpy()[:, None] * n.w.to_numpy()).sum() / (p.w.sum() * n.w.sum())
 
     want = {r: np.mean([auc(x, "a") - auc(x, "b") for _, x in g.groupby("cutoff")]) for r, g in w.groupby("replicate")}
-    reps = stats._auc_replicates(df, ["cutoff"], "y", "a", "b", 6, 42)
+    open_ = df.limit(5).withColumns({"row_id": F.col("row_id") + 10**15, "y": F.lit(None).cast("long")})  # without a label: neither side
+    reps = stats._auc_replicates(df.unionByName(open_), ["cutoff"], "y", "a", "b", 6, 42)
     assert {r.replicate: r._m for r in reps.collect()} == pytest.approx(want, abs=1e-12)
     out = stats.auc_bootstrap(df, ["cutoff"], "y", "a", "b", boot=50).collect()
     assert len(out) == 1 and out[0].lo < out[0].hi
