@@ -1,7 +1,7 @@
 """Set-similarity join in a prefix tree, and its distribution over clusters of candidates."""
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,11 +112,11 @@ def as_tokens(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u8")
 
 
-def block_links(rows: pa.Table, percent: int, decode: Callable[[bytes], np.ndarray] = as_tokens) -> pa.Table:
+def block_links(rows: pa.Table, percent: int) -> pa.Table:
     """Links inside a task's one block or between its two, as many as connect what is connected. Sets that a label or earlier links
     connect already are not compared."""
     ids, side, label = rows.column("node").to_numpy(), rows.column("side").to_numpy(), rows.column("label").to_numpy()
-    sets = [decode(x) for x in rows.column("tokens").to_pylist()]
+    sets = [as_tokens(x) for x in rows.column("tokens").to_pylist()]
     _, label = np.unique(label, return_inverse=True)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     tree, probes = (left, right) if len(left) and len(right) else (np.arange(len(ids)),) * 2
@@ -129,12 +129,34 @@ def block_links(rows: pa.Table, percent: int, decode: Callable[[bytes], np.ndarr
     return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
-def linked(candidates: DataFrame, sets: DataFrame, percent: int, decode: Callable[[bytes], np.ndarray] = as_tokens, block: int = BLOCK) -> DataFrame:
+def by_task(compare: Callable[[pa.Table], pa.Table]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`compare` for every task of a partition that is sorted by its column `task`; one task at a time is held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, current = [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            task = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), batch.num_rows]
+            out = []
+            for a, b in zip(cuts, cuts[1:]):
+                if held and current != task[a]:
+                    out.append(compare(pa.Table.from_batches(held).combine_chunks()))
+                    held = []
+                current = task[a]
+                held.append(batch.slice(a, b - a))
+            yield from (r for t in out for r in t.to_batches())
+        if held:
+            yield from compare(pa.Table.from_batches(held).combine_chunks()).to_batches()
+    return run
+
+
+def linked(candidates: DataFrame, sets: DataFrame, percent: int, compare: Callable[[pa.Table, int], pa.Table] = block_links, block: int = BLOCK) -> DataFrame:
     """node, label: components of all links of at least `percent` between sets that candidates connect.
 
     candidates: a, b; pairs that stand for groups: every two nodes that candidates connect, over however many steps, are
-    compared. sets: node, n, tokens of at least those nodes; `decode` makes of tokens the set's ascending 64-bit numbers, by
-    default its own bytes. A cluster of any size is cut
+    compared. sets: node, n, tokens of at least those nodes; `compare` finds the links of a task's blocks, by default in prefix
+    trees. A cluster of any size is cut
     into blocks by size class and digest; a task compares one block or two; blocks of sizes too far apart are not compared.
 
     Clusters of several blocks take two more steps. First every block meets the first of its size class, and that the next class's: in
@@ -151,7 +173,9 @@ def linked(candidates: DataFrame, sets: DataFrame, percent: int, decode: Callabl
 
     def compared(sent: DataFrame) -> DataFrame:
         full = sent.join(sets.select("node", "tokens"), "node").select("task", "side", "node", "label", "tokens")
-        return written(full.groupBy("task").applyInArrow(lambda t: block_links(t, percent, decode), "a long, b long"), "set-links")
+        run = by_task(lambda rows: compare(rows, percent))
+        n = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return written(full.repartition(n, "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long"), "set-links")
 
     def between(placed: DataFrame, pairs: DataFrame, keys: list[str]) -> DataFrame:
         """Two blocks a task; pairs has the keys of one block with suffix 1 and of the other with 2."""
