@@ -222,7 +222,7 @@ def components_of(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> t
 
     # A line is asked of one text only, and its text travels, a tenth of its set; tasks that compare make the set of it.
     full = written(texts.mapInArrow(sets, "node long, n long, tokens binary"), "line-sets")
-    return seen, linked(candidates, full, percent, lambda rows, percent: line_links(rows, percent, width))
+    return seen, linked(candidates, full, percent, compare=lambda rows, percent: line_links(rows, percent, width))
 
 
 def dedup(docs: DataFrame, percent: int = 80, width: int = SHINGLE) -> DataFrame:

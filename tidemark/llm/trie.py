@@ -112,11 +112,11 @@ def as_tokens(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u8")
 
 
-def block_links(rows: pa.Table, percent: int) -> pa.Table:
+def block_links(rows: pa.Table, percent: int, decode: Callable[[bytes], np.ndarray] = as_tokens) -> pa.Table:
     """Links inside a task's one block or between its two, as many as connect what is connected. Sets that a label or earlier links
     connect already are not compared."""
     ids, side, label = rows.column("node").to_numpy(), rows.column("side").to_numpy(), rows.column("label").to_numpy()
-    sets = [as_tokens(x) for x in rows.column("tokens").to_pylist()]
+    sets = [decode(x) for x in rows.column("tokens").to_pylist()]
     _, label = np.unique(label, return_inverse=True)
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     tree, probes = (left, right) if len(left) and len(right) else (np.arange(len(ids)),) * 2
@@ -151,12 +151,13 @@ def by_task(compare: Callable[[pa.Table], pa.Table]) -> Callable[[Iterator[pa.Re
     return run
 
 
-def linked(candidates: DataFrame, sets: DataFrame, percent: int, compare: Callable[[pa.Table, int], pa.Table] = block_links, block: int = BLOCK) -> DataFrame:
+def linked(candidates: DataFrame, sets: DataFrame, percent: int, decode: Callable[[bytes], np.ndarray] = as_tokens, block: int = BLOCK, *,
+           compare: Callable[[pa.Table, int], pa.Table] | None = None) -> DataFrame:
     """node, label: components of all links of at least `percent` between sets that candidates connect.
 
     candidates: a, b; pairs that stand for groups: every two nodes that candidates connect, over however many steps, are
-    compared. sets: node, n, tokens of at least those nodes; `compare` finds the links of a task's blocks, by default in prefix
-    trees. A cluster of any size is cut
+    compared. sets: node, n, tokens of at least those nodes; `decode` makes of tokens the set's ascending 64-bit numbers, by
+    default its own bytes; `compare` finds the links of a task's blocks, by default in prefix trees. A cluster of any size is cut
     into blocks by size class and digest; a task compares one block or two; blocks of sizes too far apart are not compared.
 
     Clusters of several blocks take two more steps. First every block meets the first of its size class, and that the next class's: in
@@ -173,7 +174,7 @@ def linked(candidates: DataFrame, sets: DataFrame, percent: int, compare: Callab
 
     def compared(sent: DataFrame) -> DataFrame:
         full = sent.join(sets.select("node", "tokens"), "node").select("task", "side", "node", "label", "tokens")
-        run = by_task(lambda rows: compare(rows, percent))
+        run = by_task(lambda rows: compare(rows, percent) if compare else block_links(rows, percent, decode))
         n = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return written(full.repartition(n, "task").sortWithinPartitions("task").mapInArrow(run, "a long, b long"), "set-links")
 
