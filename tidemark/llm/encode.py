@@ -34,9 +34,11 @@ BLOCK = 1 << 16
 FILE = "part int, seq int, first long, n_ids int, planes array<binary>, doc_no array<long>, doc_id array<long>, length array<int>, begins array<boolean>, ends array<boolean>"
 PIECE = "part int, doc_no long, doc_id long, at long, n int, crc long, ids binary"
 #: Words remembered per Python worker.
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 #: Characters of text encoded at once.
-AT_ONCE = 4_000_000
+AT_ONCE = 2_000_000
+#: New words that go to the tokenizer as one text.
+LEARNT = 10_000
 #: Between new words; a control character that the tokenizer keeps as a token of its own.
 MARK = "\x01"
 #: A letter or digit, the ASCII marks after it, and the blank or end after these.
@@ -60,11 +62,11 @@ class Encoder:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.uint16)
-        self.starts = np.zeros(1, np.int64)  # of every known word, and the end of the last
+        self.starts = np.zeros(1 << 16, np.int64)  # of every known word, and the end of the last; room beyond
 
     def learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 50_000):
-            part = words[i:i + 50_000]
+        for i in range(0, len(words), LEARNT):
+            part = words[i:i + LEARNT]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0].ids, dtype=np.int64)
             cuts = np.flatnonzero(ids == self.mark[0])
             if len(self.mark) != 1 or len(cuts) != len(part) - 1:  # a word holds the mark
@@ -73,15 +75,17 @@ class Encoder:
             else:
                 sizes = np.diff(np.concatenate(([-1], cuts, [len(ids)]))) - 1
                 ids = np.delete(ids, cuts)
-            end = int(self.starts[-1])
+            first = len(self.known)
+            end = int(self.starts[first])
+            while first + len(part) >= len(self.starts):
+                self.starts = np.concatenate((self.starts, np.zeros_like(self.starts)))
             while end + len(ids) > len(self.ids):
                 self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
             if len(ids) and ids.max() > 0xFFFF and self.ids.dtype == np.uint16:
                 self.ids = self.ids.astype(np.uint32)
             self.ids[end:end + len(ids)] = ids
-            first = len(self.known)
             self.known.update(zip(part, range(first, first + len(part))))
-            self.starts = np.concatenate((self.starts, end + np.cumsum(sizes)))
+            self.starts[first + 1:first + len(part) + 1] = end + np.cumsum(sizes)
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and the number of ids of each."""
